@@ -18,7 +18,7 @@ fate AS (
   FROM feed WHERE key <> '' GROUP BY key),
 known AS (SELECT DISTINCT {_KEY.format('path')} AS key FROM notes WHERE path IS NOT NULL),
 names AS (
-  SELECT k.key AS whole, array_to_string(list_slice(string_split(k.key, '/'), i, NULL), '/') AS name, i = 1 AS is_full,
+  SELECT k.key AS whole, array_to_string(list_slice(string_split(k.key, '/'), i, 99999), '/') AS name, i = 1 AS is_full,
          k.note, coalesce(f.added, TIMESTAMP '1900-01-01') AS since
   FROM (SELECT key, true AS note FROM known WHERE key <> '' UNION ALL SELECT key, false FROM fate WHERE last = 'D' AND key NOT IN (SELECT key FROM known)) k
   LEFT JOIN fate f USING (key), unnest(range(1, len(string_split(k.key, '/')) + 1)) AS t(i)),
