@@ -1 +1 @@
-"""llm of quillmill."""
+"""Operators for large-scale training data; nothing else in the library imports this subpackage."""
