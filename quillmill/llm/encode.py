@@ -1,9 +1,10 @@
 """Encoding of a corpus with a public byte-level BPE, by overlapping chunks.
 
 Texts longer than a chunk are cut into overlapping chunks that are pre-tokenised in parallel, each from its own start.
-The pre-tokens of a chunk are right from the first place in the overlap at which both neighbours see a boundary, for the
-pattern reads on from a boundary in one way only. There the chunks are stitched; the pieces between are encoded and
-their ids joined. Chunks that never agree in the overlap are joined first, so the ids are exact for every text.
+The pattern reads on from a boundary in one way only, and it puts a boundary before every white space that follows
+something else, wherever it began to read: at the first such boundary that both neighbours see in their overlap they run
+in step again. There the chunks are stitched; the pieces between are encoded and their ids joined. Chunks whose overlap
+has no such place are joined first, so the ids are exact for every text.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 from ..session import partitions
 
 NAME = "byte_bpe_50k.tiktoken"
-#: Characters at a chunk's end in which a contraction may be cut.
-RAGGED = 4
 
 
 def tokenizer_path(name: str = NAME) -> str:
@@ -76,10 +75,8 @@ def _boundaries(size: int, overlap: int):
         find = _pattern().finditer
         for batch in batches:
             heads, tails = [], []
-            for text, last in zip(batch.column("text").to_pylist(), batch.column("last").to_pylist(), strict=True):
-                ends = [m.end() for m in find(text)]
-                if not last:
-                    ends = [e for e in ends if e < len(text) - RAGGED]
+            for text in batch.column("text").to_pylist():
+                ends = [e for e in (m.end() for m in find(text)) if text[e : e + 1] in (" ", "\n", "\t", "\r") and not text[e - 1].isspace()]
                 heads.append([e for e in ends if e < overlap])
                 tails.append([e - size for e in ends if size <= e])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=[*batch.schema.names, "heads", "tails"])

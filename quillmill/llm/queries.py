@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..plans.registry import Registry
 from ..sources.tables import table
-from . import encode, mix, split, terms
+from . import encode, mix, neardup, split, terms
 
 REG = Registry()
 
@@ -59,3 +59,13 @@ def p7_draws(spark, d):
 @REG.add("p7_shares")
 def p7_shares(spark, d):
     return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
+@REG.add("p4_found")
+def p4_found(spark, d):
+    return neardup.NearDuplicates(table(spark, d, "chunks"), table(spark, d, "notes")).pairs()
+
+
+@REG.add("p4_groups")
+def p4_groups(spark, d):
+    return neardup.NearDuplicates(table(spark, d, "chunks"), table(spark, d, "notes")).groups()
