@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..plans.registry import Registry
 from ..sources.tables import table
-from . import encode, mix, neardup, split, terms
+from . import encode, language, mix, neardup, split, subject, terms
 
 REG = Registry()
 
+
+def _languages(spark, d):
+    documents = table(spark, d, "documents")
+    filters = language.fit(language.training_texts(documents, sample_rows=2000))
+    return language.detect_languages(language.items(documents, table(spark, d, "chunks"), table(spark, d, "eval_queries")), filters)
+
+
+@REG.add("p1_found")
+def p1_found(spark, d):
+    return language.label_cases(_languages(spark, d))
+
+
+@REG.add("p1_segments")
+def p1_segments(spark, d):
+    return _languages(spark, d).select("item_table", "item_id", F.explode("segments").alias("s")).select("item_table", "item_id", "s.*").distinct()
+
+
 _SIZE = "length(text) + CASE WHEN len(headings) > 0 THEN length(array_to_string(headings, ' > ')) + 2 ELSE 0 END"
 
 
@@ -69,3 +88,19 @@ def p4_found(spark, d):
 @REG.add("p4_groups")
 def p4_groups(spark, d):
     return neardup.NearDuplicates(table(spark, d, "chunks"), table(spark, d, "notes")).groups()
+
+
+def _subjects(spark, d):
+    documents = table(spark, d, "documents")
+    model = subject.training_model(documents, table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+    return subject.subject_shares(documents, model), model
+
+
+@REG.add("p8_found")
+def p8_found(spark, d):
+    return subject.subject_rows(*_subjects(spark, d)).select("doc_id", "subject").distinct()
+
+
+@REG.add("p8_composition")
+def p8_composition(spark, d):
+    return subject.composition(*_subjects(spark, d))
