@@ -128,15 +128,16 @@ def items(chunks: DataFrame, notes: DataFrame) -> DataFrame:
 def _check(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, a, b = (batch.column(c).to_pylist() for c in ("kind", "text_a", "text_b"))
+            doc, a, b = (batch.column(c).to_pylist() for c in ("doc_a", "text_a", "text_b"))
             keep, held = [], {}
-            for k, x, y in zip(kind, a, b, strict=True):
+            for d, x, y in zip(doc, a, b, strict=True):
+                k = d % 2
                 if x not in held:
                     held = {x: features(k, x)}
                 f, g = held[x], features(k, y)
                 common = len(f & g)
                 keep.append(common > 0 and common >= threshold * (len(f) + len(g) - common) - 1e-9)
-            yield batch.select(["kind", "key_a", "key_b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["doc_a", "doc_b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -158,18 +159,20 @@ class NearDuplicates:
         self.signed = cut(source.mapInArrow(_sign, SIGNED))
         self.members = self.signed.select("kind", "key", "id").distinct()
         self.classes = self.signed.groupBy("kind", "key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n"))
-        bands = self.signed.select("key", "kind", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.substr(F.col("sig"), j * ROWS + 1, F.lit(ROWS)))).alias("j", "values"))
-        buckets = bands.select(F.xxhash64("kind", "j", "values").alias("bucket"), "key").distinct()
+        # from here on a class of equal texts is its smallest id; doc tells texts and titles apart in one number
+        one = self.signed.groupBy("kind", "key").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in ("sig", "s0", "s1", "s2")]).withColumn("doc", F.col("rep") * 2 + F.col("kind"))
+        bands = one.select("doc", "kind", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.substr(F.col("sig"), j * ROWS + 1, F.lit(ROWS)))).alias("j", "values"))
+        buckets = bands.select(F.xxhash64("kind", "j", "values").alias("bucket"), "doc")
         a, b = buckets.alias("a"), buckets.alias("b")
-        pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
-        known = self.signed.groupBy("key").agg(F.min("kind").alias("kind"), F.min("id").alias("rep"), *[F.min(s).alias(s) for s in ("s0", "s1", "s2")])
-        side = lambda x: known.select(*[F.col(c).alias(f"{c}_{x}") for c in ("key", "kind", "rep", "s0", "s1", "s2")])
-        both = pairs.join(side("a"), "key_a").join(side("b"), "key_b")
+        pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.doc") < F.col("b.doc"))).select(F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).distinct()
+        side = lambda x: one.select(*[F.col(c).alias(f"{c}_{x}") for c in ("doc", "s0", "s1", "s2")])
+        both = pairs.join(side("a"), "doc_a").join(side("b"), "doc_b")
         differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(1, 3)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-        likely = both.filter((F.col("kind_a") == F.col("kind_b")) & (VALUES - differ >= least)).select(F.col("kind_a").alias("kind"), "key_a", "key_b", "rep_a", "rep_b")
-        text = lambda x: source.select("kind", F.col("id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}"))
-        checked = likely.join(text("a"), ["kind", "rep_a"]).join(text("b"), ["kind", "rep_b"]).select("kind", "key_a", "key_b", "text_a", "text_b")
-        self.links = checked.mapInArrow(_check(threshold), "kind int, key_a bigint, key_b bigint").distinct()
+        likely = both.filter(((F.col("doc_a") - F.col("doc_b")) % 2 == 0) & (VALUES - differ >= least)).select("doc_a", "doc_b")
+        text = lambda x: source.select((F.col("id") * 2 + F.col("kind")).alias(f"doc_{x}"), F.col("text").alias(f"text_{x}"))
+        checked = likely.join(text("a"), "doc_a").join(text("b"), "doc_b").select("doc_a", "doc_b", "text_a", "text_b")
+        found = checked.mapInArrow(_check(threshold), "doc_a bigint, doc_b bigint").distinct()
+        self.links = found.select(F.pmod("doc_a", F.lit(2)).cast("int").alias("kind"), F.shiftright("doc_a", 1).alias("rep_a"), F.shiftright("doc_b", 1).alias("rep_b"))
 
     def pairs(self, expand: int = 64) -> DataFrame:
         """(item_table, id_a, id_b), the smaller id first.
@@ -180,8 +183,8 @@ class NearDuplicates:
         """
         sized = self.members.join(self.classes, ["kind", "key"])
         out = sized.filter((F.col("n") <= expand) | (F.col("id") == F.col("rep")))
-        side = lambda x: out.select("kind", F.col("key").alias(f"key_{x}"), F.col("id").alias(f"id_{x}"))
-        across = self.links.join(side("a"), ["kind", "key_a"]).join(side("b"), ["kind", "key_b"]).select("kind", "id_a", "id_b")
+        side = lambda x: out.select("kind", F.col("rep").alias(f"rep_{x}"), F.col("id").alias(f"id_{x}"))
+        across = self.links.join(side("a"), ["kind", "rep_a"]).join(side("b"), ["kind", "rep_b"]).select("kind", "id_a", "id_b")
         small = sized.filter((F.col("n") > 1) & (F.col("n") <= expand))
         within = small.select("kind", "key", F.col("id").alias("id_a")).join(small.select("kind", "key", F.col("id").alias("id_b")), ["kind", "key"]).select("kind", "id_a", "id_b")
         large = sized.filter(F.col("n") > expand).select("kind", F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
@@ -193,8 +196,7 @@ class NearDuplicates:
 
         Both are named by their smallest member. ``n_links`` counts the other texts that the item's text is linked to.
         """
-        side = lambda x: self.classes.select("kind", F.col("key").alias(f"key_{x}"), F.col("rep").alias(f"rep_{x}"))
-        links = cut(self.links.join(side("a"), ["kind", "key_a"]).join(side("b"), ["kind", "key_b"]).select("kind", "rep_a", "rep_b"))
+        links = cut(self.links)
         ends = links.select("kind", F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("kind", "rep").agg(F.count("*").alias("n_links"))
         # an item delivered with two texts belongs to two classes: it links them
         classed = self.members.join(self.classes.select("kind", "key", "rep"), ["kind", "key"]).select("kind", "id", "rep")
