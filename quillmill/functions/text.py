@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: One token of the index, one token of a query, longest slug.
 TOKEN = r"[\p{L}\p{N}]+"
@@ -20,7 +21,7 @@ def _fold(text: str | None) -> str | None:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def strip_accents(column: pa.Array) -> pa.Array:
     """Text without combining marks (canonical decomposition, marks dropped); null stays null. ASCII passes untouched."""
     return pa.array([_fold(x) for x in column.to_pylist()], pa.string())
@@ -42,7 +43,7 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _ascii(column: pa.Array) -> pa.Array:
     out = [None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() for x in column.to_pylist()]
     return pa.array(out, pa.string())

@@ -72,7 +72,11 @@ def bm25(queries: DataFrame, indexed: DataFrame, wanted: Column | None = None, c
     lengths = [r["words"] for r in phrases.select("words").distinct().collect()]
     asked = phrases.select("phrase").distinct()
     weights = (("title", config.title_weight), ("headings", config.headings_weight), ("text", config.text_weight))
-    listed = F.concat(*[F.transform(_grams(c, n), lambda t, w=w: F.struct(t.alias("phrase"), F.lit(w).alias("w"))) for n in lengths or [1] for c, w in weights])
+
+    def weighed(column: str, weight: float, n: int) -> Column:
+        return F.transform(_grams(column, n), lambda t: F.struct(t.alias("phrase"), F.lit(weight).alias("w")))
+
+    listed = F.concat(*[weighed(c, w, n) for n in lengths or [1] for c, w in weights])
     hits = docs.select("chunk_id", "size", F.explode(listed).alias("p")).select("chunk_id", "size", "p.phrase", "p.w").join(asked, "phrase")
     tf = hits.groupBy("phrase", "chunk_id", "size").agg(F.sum("w").alias("f"))
     n = float(stats["n"] or 0)
@@ -125,7 +129,11 @@ def hits(ranked: DataFrame, indexed: DataFrame) -> DataFrame:
 def index_terms(indexed: DataFrame) -> DataFrame:
     """The stored inverted index: (term, chunk_id, column, positions), to be written bucketed by term."""
     docs = tokenised(indexed)
-    flat = F.flatten(F.array(*[F.transform(F.col(c), lambda t, i, c=c: F.struct(t.alias("term"), F.lit(c).alias("column"), i.alias("position"))) for c in ("title", "headings", "text")]))
+
+    def placed(column: str) -> Column:
+        return F.transform(F.col(column), lambda t, i: F.struct(t.alias("term"), F.lit(column).alias("column"), i.alias("position")))
+
+    flat = F.concat(*[placed(c) for c in ("title", "headings", "text")])
     return docs.select("chunk_id", F.explode(flat).alias("p")).groupBy("p.term", "chunk_id", "p.column").agg(F.array_sort(F.collect_list("p.position")).alias("positions"))
 
 
