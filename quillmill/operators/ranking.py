@@ -7,16 +7,25 @@ matches and not of the corpus.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import TOKEN, query_terms, tokens
 from ..functions.vectors import cosine_distance
+from ..session import cut
 
 #: Scores that agree to so many digits are ties; the smaller id goes first.
 DIGITS = 9
 FLOOR = 1e-6
+#: Parts into which the postings of each asked term are spread.
+SALTS = 8
+#: Numbers of a query matrix that is broadcast: 64 MB at most.
+MATRIX = 8_000_000
 
 
 def current_notes(notes: DataFrame) -> DataFrame:
@@ -66,25 +75,31 @@ def bm25(queries: DataFrame, indexed: DataFrame, wanted: Column | None = None, c
     rows.
     """
     docs = tokenised(indexed)
-    # one pass gives the corpus statistics; they come to the driver as two numbers
-    stats = docs.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
     phrases = query_phrases(queries)
     lengths = [r["words"] for r in phrases.select("words").distinct().collect()]
-    asked = phrases.select("phrase").distinct()
+    # the empty phrase stands once in every chunk and carries the corpus statistics through the same pass
+    asked = phrases.select("phrase").unionByName(queries.sparkSession.createDataFrame([("",)], "phrase string")).distinct()
     weights = (("title", config.title_weight), ("headings", config.headings_weight), ("text", config.text_weight))
 
     def weighed(column: str, weight: float, n: int) -> Column:
         return F.transform(_grams(column, n), lambda t: F.struct(t.alias("phrase"), F.lit(weight).alias("w")))
 
-    listed = F.concat(*[weighed(c, w, n) for n in lengths or [1] for c, w in weights])
+    every = F.array(F.struct(F.lit("").alias("phrase"), F.lit(0.0).alias("w")))
+    listed = F.concat(every, *[weighed(c, w, n) for n in lengths or [1] for c, w in weights])
     hits = docs.select("chunk_id", "size", F.explode(listed).alias("p")).select("chunk_id", "size", "p.phrase", "p.w").join(asked, "phrase")
-    tf = hits.groupBy("phrase", "chunk_id", "size").agg(F.sum("w").alias("f"))
+    # the postings of the asked phrases are written once and read for document frequencies, statistics and scores
+    tf = cut(hits.groupBy("phrase", "chunk_id", "size").agg(F.sum("w").alias("f")))
+    stats = tf.filter("phrase = ''").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+    tf = tf.filter("phrase <> ''")
     n = float(stats["n"] or 0)
     held = tf.groupBy("phrase").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = held.select("phrase", F.when(F.col("idf") > 0, F.col("idf")).otherwise(FLOOR).alias("idf"))
     long = config.k1 * (1 - config.b + config.b * F.col("size") / F.lit(float(stats["mean"] or 1.0)))
     part = F.col("idf") * F.col("f") * (config.k1 + 1) / (F.col("f") + long)
-    scored = tf.join(weight, "phrase").join(phrases.select("qid", "phrase"), "phrase").groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"))
+    # a term that each document and many queries hold is a hot key: its postings are spread over salts, its queries copied
+    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int").alias("salt")
+    asking = phrases.select("qid", "phrase").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scored = tf.join(weight, "phrase").select("phrase", "chunk_id", part.alias("part"), salt).join(asking, ["phrase", "salt"]).groupBy("qid", "chunk_id").agg(F.sum("part").alias("score"))
     if wanted is not None:
         scored = scored.join(indexed.filter(wanted).select("chunk_id"), "chunk_id", "left_semi")
     return scored.select("qid", "chunk_id", "score")
@@ -107,6 +122,48 @@ def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return vectors.filter("embedding is not null").join(asked, F.lit(True)).select("qid", "chunk_id", cosine_distance(F.col("embedding"), F.col("vector")).alias("score"))
 
 
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, chunk_id, score, rank): the k nearest chunks of each query, as :func:`top` of :func:`cosine` gives them.
+
+    Query sets of up to MATRIX numbers are multiplied as one matrix with each Arrow batch of vectors, and each batch only
+    passes on what can still be among the k; larger ones take the join.
+    """
+    asked = queries.select("qid", "vector").filter("vector is not null")
+    size = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
+    width = asked.agg(F.max(F.size("vector")).alias("a"), F.min(F.size("vector")).alias("b")).first()
+    if not 0 < size <= MATRIX or width["a"] != width["b"]:
+        return top(cosine(vectors, queries), k, best_first=False)
+    rows = asked.collect()
+    ids = np.array([r["qid"] for r in rows], np.int64)
+    matrix = np.array([r["vector"] for r in rows], np.float64)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, np.sqrt((matrix * matrix).sum(1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix, norms = shared.value
+        for b in batches:
+            ok = np.array([x is not None and len(x) == matrix.shape[1] for x in b.column("embedding")])
+            if not ok.any():
+                continue
+            kept = b.filter(pa.array(ok))
+            chunk = kept.column("chunk_id").to_numpy()
+            block = np.array(kept.column("embedding").to_pylist(), np.float64)
+            # the smaller id goes first among equals
+            order = np.argsort(chunk, kind="stable")
+            chunk, block = chunk[order], block[order]
+            length = np.sqrt((block * block).sum(1))
+            for i in range(0, len(ids), 512):
+                scale = length[:, None] * norms[None, i : i + 512]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    far = 1.0 - (block @ matrix[i : i + 512].T) / scale
+                far[scale == 0] = np.nan
+                best = np.argsort(np.where(np.isnan(far), np.inf, np.round(far, DIGITS)), axis=0, kind="stable")[:k]
+                score = np.take_along_axis(far, best, 0).T.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 512], len(best))), pa.array(chunk[best.T.ravel()]), pa.array(score, mask=np.isnan(score))], names=["qid", "chunk_id", "score"])
+
+    near = vectors.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding").filter("embedding is not null").mapInArrow(run, "qid bigint, chunk_id bigint, score double")
+    return top(near, k, best_first=False)
+
+
 def fuse(keyword: DataFrame, semantic: DataFrame, limit: int, config: EngineConfig = EngineConfig()) -> DataFrame:
     """(qid, chunk_id, score, match, rank) of the best ``limit``: the sum of 1 / (60 + rank) over both rankings.
 
@@ -137,4 +194,4 @@ def index_terms(indexed: DataFrame) -> DataFrame:
     return docs.select("chunk_id", F.explode(flat).alias("p")).groupBy("p.term", "chunk_id", "p.column").agg(F.array_sort(F.collect_list("p.position")).alias("positions"))
 
 
-__all__ = ["TOKEN", "bm25", "cosine", "current_notes", "fuse", "hits", "index_terms", "indexed_chunks", "query_phrases", "tag_lists", "tokenised", "top"]
+__all__ = ["TOKEN", "bm25", "cosine", "cosine_top", "current_notes", "fuse", "hits", "index_terms", "indexed_chunks", "query_phrases", "tag_lists", "tokenised", "top"]

@@ -215,7 +215,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) NUL
 def r3_cosine_topk(spark, d):
     vecs = table(spark, d, "embeddings")
     asked = vecs.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    return ranking.top(ranking.cosine(vecs.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked), 10, best_first=False).withColumn("score", F.round("score", 6))
+    return ranking.cosine_top(vecs.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, 10).withColumn("score", F.round("score", 6))
 
 
 def _hybrid(spark, d):
@@ -223,7 +223,7 @@ def _hybrid(spark, d):
     keyword = ranking.top(ranking.bm25(asked, indexed), 50)
     vectors = indexed.select("chunk_id").join(vecs, F.col("vec_id") == F.col("chunk_id")).select("chunk_id", "embedding")
     vector = asked.join(vecs, F.col("vec_id") == F.col("qid")).select("qid", F.col("embedding").alias("vector"))
-    return ranking.fuse(keyword, ranking.top(ranking.cosine(vectors, vector), 50, best_first=False), 8), indexed
+    return ranking.fuse(keyword, ranking.cosine_top(vectors, vector, 50), 8), indexed
 
 
 @REG.add("r4_rrf_hybrid", f"{_HYBRID} SELECT qid, chunk_id, score, match, rank FROM ranked WHERE rank <= 8")

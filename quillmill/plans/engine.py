@@ -55,7 +55,7 @@ class Engine:
                 rows = [(r["qid"], [float(x) for x in model.query(r["query"] or "")]) for r in queries.select("qid", "query").collect()]
                 asked = self.spark.createDataFrame(rows, "qid bigint, vector array<float>")
             vectors = self.chunks.select("chunk_id", "embedding").join(self.indexed.filter(wanted).select("chunk_id"), "chunk_id", "left_semi")
-            semantic = ranking.top(ranking.cosine(vectors, asked), depth, best_first=False)
+            semantic = ranking.cosine_top(vectors, asked, depth)
         return ranking.fuse(keyword, semantic, limit, self.config)
 
     def search(self, query: str, limit: int = 8, mode: str = "hybrid", filters: SearchFilters = SearchFilters()) -> DataFrame:

@@ -42,7 +42,7 @@ def percentile(values: Column, percent: float) -> Column:
     """Nearest rank of an array, rounded half to even and to one digit; 0 for an empty one."""
     n = F.size(values)
     at = F.bround(F.lit(percent / 100) * (n - 1)).cast("int") + 1
-    return F.coalesce(F.round(F.try_element_at(F.sort_array(values), F.least(n, at)), 1), F.lit(0.0))
+    return F.coalesce(F.round(F.try_element_at(F.sort_array(values), F.greatest(F.lit(1), F.least(n, at))), 1), F.lit(0.0))
 
 
 def load_queries(text: str) -> list[dict]:
