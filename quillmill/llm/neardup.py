@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 
 WORD = re.compile(r"[^\W_]+")
 #: Words of a shingle and words a text must have; characters of a title's features and those it must have.
@@ -156,13 +156,14 @@ class NearDuplicates:
         # the smallest agreement of one-bit values that a pair at the threshold shows, less five standard deviations
         p = (1 + threshold) / 2
         least = int(VALUES * p - 5 * (VALUES * p * (1 - p)) ** 0.5)
-        self.signed = cut(source.mapInArrow(_sign, SIGNED))
+        self.signed = written(source.mapInArrow(_sign, SIGNED))
         self.members = self.signed.select("kind", "key", "id").distinct()
         self.classes = self.signed.groupBy("kind", "key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n"))
         # from here on a class of equal texts is its smallest id; doc tells texts and titles apart in one number
         one = self.signed.groupBy("kind", "key").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in ("sig", "s0", "s1", "s2")]).withColumn("doc", F.col("rep") * 2 + F.col("kind"))
         bands = one.select("doc", "kind", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.substr(F.col("sig"), j * ROWS + 1, F.lit(ROWS)))).alias("j", "values"))
-        buckets = bands.select(F.xxhash64("kind", "j", "values").alias("bucket"), "doc")
+        # 48 bits of a bucket's hash: a chance meeting is one more candidate for the exact check, and the zeros pack well
+        buckets = bands.select(F.shiftrightunsigned(F.xxhash64("kind", "j", "values"), 16).alias("bucket"), "doc")
         a, b = buckets.alias("a"), buckets.alias("b")
         pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.doc") < F.col("b.doc"))).select(F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).distinct()
         side = lambda x: one.select(*[F.col(c).alias(f"{c}_{x}") for c in ("doc", "s0", "s1", "s2")])
