@@ -50,8 +50,11 @@ class StrongestCut:
         return int(max(table[i], table[j - (1 << level)]) % self.width)
 
 
-def spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, stop) of the pieces of ``text``: each at most ``limit`` long, each after the first repeats ``overlap`` characters."""
+def spans(text: str, limit: int, overlap: int, earlier: bool = False) -> list[tuple[int, int]]:
+    """(start, stop) of the pieces of ``text``: each at most ``limit`` long, each after the first repeats ``overlap`` characters.
+
+    Cuts are looked for in the second half of the window; with ``earlier``, where it holds none, in all of the window before it.
+    """
     if not 0 <= 2 * overlap < limit:
         raise ValueError("the limit must be more than twice the overlap")
     if len(text) <= limit:
@@ -60,6 +63,8 @@ def spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     while len(text) - start > limit:
         low, high = start + max(overlap + 1, limit // 2), start + limit
         cut = index.best(low, high)
+        if cut is None and earlier:
+            cut = index.best(start + overlap + 1, low - 1)
         if cut is None:  # no natural boundary: as late as possible, but not before a combining mark
             cut = high
             while cut > low and (unicodedata.combining(text[cut]) or text[cut] in "‍️" or text[cut - 1] == "‍"):
@@ -96,7 +101,7 @@ def split_items(chunks: DataFrame, max_chars: int = 1500, overlap: int = 150) ->
             for row in batch.to_pylist():
                 kept = fitting_headings(row["headings"], max_chars - 3 * overlap)
                 head = " > ".join(kept) + "\n\n" if kept else ""
-                for i, (a, b) in enumerate(spans(row["text"], max_chars - len(head), overlap)):
+                for i, (a, b) in enumerate(spans(row["text"], max_chars - len(head), overlap, earlier=True)):
                     part = row["text"][a:b]
                     rows.append((row["chunk_id"], i, a, b, kept, part, head + part))
             yield pa.RecordBatch.from_arrays(

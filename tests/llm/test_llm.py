@@ -95,6 +95,25 @@ def test_split_items(spark):
     assert len(ones) == len({r["piece"] for r in ones})
 
 
+def test_pieces_end_at_an_earlier_boundary_before_a_run(spark):
+    prose_ = ("A sentence of some words. " * 27)[:698] + "\n\n"
+    given_ = [(1, None, prose_ + "x" * 3000), (2, ["h" * 40], "y" * 200 + " " + "z" * 3000), (3, None, "w" * 100 + " " + "v" * 3000)]
+    out = split.split_items(spark.createDataFrame(given_, "chunk_id bigint, headings array<string>, text string"))
+    stops = {i: [r["stop"] for r in sorted(out.filter(f"chunk_id = {i}").collect(), key=lambda r: r["piece"])] for i in (1, 2, 3)}
+    # a boundary inside the overlap (3) is none for the next piece to start after
+    assert stops[1] == [700, 2050, 3400, 3700] and stops[2][0] == 201 and stops[3][0] == 1500
+    assert all(len(r["content"]) <= 1500 for r in out.collect())
+
+
+@given(st.text(alphabet="ab. ,\n", max_size=400), st.integers(13, 60), st.integers(0, 6))
+@settings(max_examples=200, deadline=None)
+def test_hard_cuts_only_without_any_boundary(text, limit, overlap):
+    ends = {m.end() for pattern, _ in split.CUTS for m in pattern.finditer(text)}
+    got = split.spans(text, limit, overlap, earlier=True)
+    assert all(b in ends or not ends.intersection(range(a + overlap + 1, a + limit + 1)) for a, b in got[:-1])
+    assert all(b - a <= limit for a, b in got) and text == text[: got[0][1]] + "".join(text[a + overlap : b] for a, b in got[1:])
+
+
 # ---- 4: near-duplicates ----
 
 
