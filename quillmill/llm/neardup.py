@@ -152,7 +152,7 @@ class NearDuplicates:
     """
 
     def __init__(self, chunks: DataFrame, notes: DataFrame, threshold: float = 0.6) -> None:
-        source = items(chunks, notes)
+        self.source = source = items(chunks, notes)
         # the smallest agreement of one-bit values that a pair at the threshold shows, less five standard deviations
         p = (1 + threshold) / 2
         least = int(VALUES * p - 5 * (VALUES * p * (1 - p)) ** 0.5)
@@ -175,21 +175,26 @@ class NearDuplicates:
         found = checked.mapInArrow(_check(threshold), "doc_a bigint, doc_b bigint").distinct()
         self.links = found.select(F.pmod("doc_a", F.lit(2)).cast("int").alias("kind"), F.shiftright("doc_a", 1).alias("rep_a"), F.shiftright("doc_b", 1).alias("rep_b"))
 
-    def pairs(self, expand: int = 64) -> DataFrame:
-        """(item_table, id_a, id_b), the smaller id first.
+    def pairs(self, expand: int | None = None) -> DataFrame:
+        """(item_table, id_a, id_b), the smaller id first: every pair, whatever the size of its class.
 
-        Classes of at most ``expand`` equal texts are written out in full. Of larger ones the smallest id stands for the
-        class in links to other texts, and each copy is paired with it: no link between different texts is lost, and the
-        copies are not written out among themselves.
+        With ``expand``, more than so many exact copies (equal to the character) are written as representative plus
+        membership: their smallest id takes part in all pairs, and each copy is paired with it alone. Texts of a class that
+        differ in case, punctuation or markup are no copies and are paired in full.
         """
-        sized = self.members.join(self.classes, ["kind", "key"])
-        out = sized.filter((F.col("n") <= expand) | (F.col("id") == F.col("rep")))
+        out, tied = self.members.join(self.classes, ["kind", "key"]), None
+        if expand is not None:
+            raw = self.source.select("kind", "id", F.xxhash64("text").alias("raw")).distinct()
+            copies = out.join(raw, ["kind", "id"])
+            sized = copies.join(copies.groupBy("kind", "key", "raw").agg(F.min("id").alias("first"), F.count("*").alias("copies")), ["kind", "key", "raw"])
+            tied = sized.filter(F.col("copies") > expand).select("kind", F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+            out = sized.filter((F.col("copies") <= expand) | (F.col("id") == F.col("first"))).select("kind", "key", "rep", "n", "id").distinct()
         side = lambda x: out.select("kind", F.col("rep").alias(f"rep_{x}"), F.col("id").alias(f"id_{x}"))
         across = self.links.join(side("a"), ["kind", "rep_a"]).join(side("b"), ["kind", "rep_b"]).select("kind", "id_a", "id_b")
-        small = sized.filter((F.col("n") > 1) & (F.col("n") <= expand))
-        within = small.select("kind", "key", F.col("id").alias("id_a")).join(small.select("kind", "key", F.col("id").alias("id_b")), ["kind", "key"]).select("kind", "id_a", "id_b")
-        large = sized.filter(F.col("n") > expand).select("kind", F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-        every = across.unionByName(within).unionByName(large).filter("id_a <> id_b")
+        own = lambda x: out.filter("n > 1").select("kind", "key", F.col("id").alias(f"id_{x}"))
+        within = own("a").join(own("b"), ["kind", "key"]).filter("id_a < id_b").select("kind", "id_a", "id_b")
+        every = across.unionByName(within)
+        every = (every if tied is None else every.unionByName(tied)).filter("id_a <> id_b")
         return every.select(F.when(F.col("kind") == TEXTS, "chunks").otherwise("notes").alias("item_table"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
     def groups(self) -> DataFrame:

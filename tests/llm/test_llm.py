@@ -152,6 +152,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(x["group_id"] == find(i) for i, x in groups.items()) and groups[504]["class_id"] == 0
 
 
+def test_large_classes_give_every_pair(spark):
+    base = [f"wort{i}" for i in range(60)]
+    # 70 spellings of one text, 70 exact copies of one of them, and two spellings of a text that is linked to them
+    texts = {i: " ".join(w.upper() if j == i % 60 else w for j, w in enumerate(base)) + "!" * (i // 60) for i in range(70)}
+    texts |= {100 + i: texts[5] for i in range(70)}
+    texts |= {200: " ".join([*base[:-1], "anders"]), 201: " ".join([*base[:-1], "Anders"])}
+    c = spark.createDataFrame(list(texts.items()), "chunk_id bigint, text string")
+    near = neardup.NearDuplicates(c, spark.createDataFrame([], "note_id bigint, title string"))
+    every = set(itertools.combinations(sorted(texts), 2))
+    assert {(a, b) for _, a, b in rows(near.pairs())} == every
+    # copies as representative (5) plus membership; different spellings stay paired in full
+    kept = {(a, b) for a, b in every if not {a, b} & set(range(100, 170))} | {(5, 100 + i) for i in range(70)}
+    assert {(a, b) for _, a, b in rows(near.pairs(expand=64))} == kept
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = neardup.NearDuplicates(spark.createDataFrame([], "chunk_id bigint, text string"), spark.createDataFrame([], "note_id bigint, title string"))
     assert empty.pairs().collect() == []
