@@ -100,10 +100,10 @@ def pieces(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return stitched.groupBy("doc_id", "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", part.alias("part")))), lambda x: x["part"]), "").alias("text"))
 
 
-def encode_corpus(documents: DataFrame, tokenizer: str | None = None, chunk_chars: int = 65536, overlap: int = 1024) -> DataFrame:
+def encode_corpus(documents: DataFrame, tokenizer: str | None = None, chunk_chars: int = 4096, overlap: int = 256) -> DataFrame:
     """(doc_id, ids): token ids of each document's text, without special tokens; empty for null and empty texts.
 
-    ``tokenizer`` is the path of the vocabulary file. One row for each row of ``documents``.
+    ``tokenizer`` is the path of the vocabulary file. One row for each row of ``documents``, whose doc_id must be unique.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     keys = [("doc_id", pa.int64())]

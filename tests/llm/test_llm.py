@@ -217,6 +217,22 @@ def test_stitched_ids_equal_whole_ids(spark):
     assert all(encode.decode(got[i]) == (t or "") for i, t in enumerate(texts))
 
 
+def test_long_notes_are_cut_by_default(spark, monkeypatch):
+    texts = ["A note of some words, äöü 你好.\n\n" * 700, "a short one", "x" * 9000, None]
+    real, cut = encode.pieces, []
+
+    def pieces(docs, size, overlap):
+        out = real(docs, size, overlap)
+        cut.extend(rows(out.groupBy("doc_id").count()))
+        return out
+
+    monkeypatch.setattr(encode, "pieces", pieces)
+    got = {r["doc_id"]: r["ids"] for r in encode.encode_corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    # a run without any boundary stays one piece
+    assert [i for i, _ in cut] == [0, 2] and dict(cut)[0] > 2 and dict(cut)[2] == 1
+    assert got == {i: encode.encoding().encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+
+
 # ---- 7: mixing ----
 
 
