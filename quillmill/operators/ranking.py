@@ -116,7 +116,7 @@ def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, chunk_id, score): cosine distances of every chunk's ``embedding`` to every query's ``vector``.
 
     The scan is exact. ``queries`` is a stated query set of bounded size that meets all rows block by block; chunks without
-    an embedding are left out, a zero vector has the distance null and is ranked last.
+    an embedding are left out; a zero vector or one of another length has the distance null and is ranked last.
     """
     asked = queries.select("qid", "vector").filter("vector is not null")
     return vectors.filter("embedding is not null").join(asked, F.lit(True)).select("qid", "chunk_id", cosine_distance(F.col("embedding"), F.col("vector")).alias("score"))
@@ -141,12 +141,12 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, norms = shared.value
         for b in batches:
-            ok = np.array([x is not None and len(x) == matrix.shape[1] for x in b.column("embedding")])
-            if not ok.any():
+            if not b.num_rows:
                 continue
-            kept = b.filter(pa.array(ok))
-            chunk = kept.column("chunk_id").to_numpy()
-            block = np.array(kept.column("embedding").to_pylist(), np.float64)
+            chunk = b.column("chunk_id").to_numpy()
+            # a vector of another length counts as a zero vector: its score is null
+            other = [0.0] * matrix.shape[1]
+            block = np.array([x if len(x) == len(other) else other for x in b.column("embedding").to_pylist()], np.float64)
             # the smaller id goes first among equals
             order = np.argsort(chunk, kind="stable")
             chunk, block = chunk[order], block[order]

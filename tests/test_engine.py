@@ -147,6 +147,13 @@ def test_cosine_matrix_equals_join(spark):
     assert ranking.cosine_top(vecs.limit(0), asked, 3).collect() == []
 
 
+def test_cosine_matrix_keeps_other_lengths(spark):
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [1.0, 0.0, 0.0]), (5, []), (6, [0.0, 2.0])], "chunk_id bigint, embedding array<float>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "qid bigint, vector array<float>")
+    want = rows(ranking.top(ranking.cosine(vecs, asked), 4, best_first=False), "qid", "chunk_id", "score", "rank")
+    assert rows(ranking.cosine_top(vecs, asked, 4), "qid", "chunk_id", "score", "rank") == want == [(0, 1, 0.0, 1), (0, 2, None, 3), (0, 4, None, 4), (0, 6, 1.0, 2)]
+
+
 def test_diff_and_upsert(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("d", None)], "path string, content_hash string")
     new = spark.createDataFrame([("a", "2"), ("c", "1"), ("d", None)], "path string, content_hash string")
