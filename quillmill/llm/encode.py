@@ -1,25 +1,31 @@
 """Encoding of a corpus with a public byte-level BPE, by overlapping chunks.
 
-Texts longer than a chunk are cut into overlapping chunks that are pre-tokenised in parallel, each from its own start.
-The pattern reads on from a boundary in one way only, and it puts a boundary before every white space that follows
-something else, wherever it began to read: at the first such boundary that both neighbours see in their overlap they run
-in step again. There the chunks are stitched; the pieces between are encoded and their ids joined. Chunks whose overlap
-has no such place are joined first, so the ids are exact for every text.
+Every text is cut into overlapping chunks, each pre-tokenised from its own start and apart from the others. The pattern
+reads on from a boundary in one way only, and it puts a boundary before every white space that follows something else,
+wherever it began to read: at the first such boundary that both neighbours see in their overlap they run in step again.
+There the chunks are stitched, and the pre-tokens between are encoded. A chunk whose overlap has no such place is joined
+with the next before it is read, so the ids are exact for every text and the work stays linear in its length.
+
+One scan, no exchange: a text is one row before and one row after, so its chunks are read where the text is, and all tasks
+read at once.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import partitions
-
 NAME = "byte_bpe_50k.tiktoken"
+#: Where a boundary stands wherever reading began.
+STEP = re.compile(r"[^\s\x1c-\x1f][^\S\x1c-\x1f]|[\x1c-\x1f][^\S\x1c-\x1f]")
+#: Ids of pre-tokens that a worker remembers before it begins anew.
+MOST_CACHED = 300_000
 
 
 def tokenizer_path(name: str = NAME) -> str:
@@ -48,76 +54,112 @@ def _pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
-def _encode(path: str | None, keys: list[tuple[str, pa.DataType]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
-        for batch in batches:
-            ids = [encode(x) if x else [] for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k, _ in keys], pa.array(ids, pa.list_(pa.int32()))], names=[*[k for k, _ in keys], "ids"])
+def chunk_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, stop) of the chunks of a text: each goes on for ``overlap`` characters into the next.
 
-    return run
+    A chunk ends only where its overlap holds a place at which both can agree; else it takes the next one in.
+    """
+    out, start, at = [], 0, size
+    while at + overlap < len(text):
+        # both must read the character that white space follows
+        if STEP.search(text, at, at + overlap):
+            out.append((start, at + overlap))
+            start = at
+        at += size
+    return [*out, (start, len(text))]
+
+
+def _heads(tokens: list[str], at: int, high: int) -> dict[int, int]:
+    """Place where a pre-token ends -> how many go before it, for places up to ``high``; the first token begins at ``at``."""
+    out = {}
+    for i, token in enumerate(tokens, 1):
+        at += len(token)
+        if at >= high:
+            break
+        out[at] = i
+    return out
+
+
+def _tails(tokens: list[str], at: int, low: int) -> dict[int, int]:
+    """The same for places after ``low``; the last token ends at ``at``."""
+    out = {}
+    for i in range(len(tokens) - 1, 0, -1):
+        at -= len(tokens[i])
+        if at <= low:
+            break
+        out[at] = i
+    return out
+
+
+class Chunked:
+    """Encodes texts by overlapping chunks; remembers the ids of pre-tokens between texts."""
+
+    def __init__(self, path: str | None = None, size: int = 1024, overlap: int = 64) -> None:
+        if not 2 <= overlap < size:
+            raise ValueError("the overlap must be at least 2 and less than the chunk")
+        self.encode, self.size, self.overlap = encoding(path).encode_ordinary, size, overlap
+        self.known: dict[str, list[int]] = {}
+
+    def pretokens(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of the text, a list for each chunk, stitched where neighbours agree."""
+        spans = chunk_spans(text, self.size, self.overlap)
+        find = _pattern().findall
+        first, tokens = 0, find(text[: spans[0][1]])
+        for (_, end), (low, high) in zip(spans, spans[1:], strict=False):
+            after = find(text[low:high])
+            left, right = _tails(tokens, end, low), _heads(after, low, end)
+            cut = min(p for p in left.keys() & right.keys() if STEP.match(text, p - 1))
+            yield tokens[first : left[cut]]
+            first, tokens = right[cut], after
+        yield tokens[first:]
+
+    def ids(self, text: str | None) -> list[int]:
+        """Token ids of the text, without special tokens; empty for null and empty texts."""
+        out: list[int] = []
+        if not text:
+            return out
+        known = self.known
+        if len(known) > MOST_CACHED:
+            known.clear()
+        for tokens in self.pretokens(text):
+            for t in tokens:
+                if t in known:
+                    out += known[t]
+                else:
+                    found = self.encode(t)
+                    # long runs come once
+                    if len(t) <= 64:
+                        known[t] = found
+                    out += found
+        return out
+
+
+def encode_corpus(documents: DataFrame, tokenizer: str | None = None, chunk_chars: int = 1024, overlap: int = 64) -> DataFrame:
+    """(doc_id, ids): token ids of each document's text, without special tokens; empty for null and empty texts.
 
+    ``tokenizer`` is the path of the vocabulary file. One row for each row of ``documents``, also of repeated ones.
+    """
 
-def _count(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        chunked = Chunked(tokenizer, chunk_chars, overlap)
         for batch in batches:
-            n = [len(encode(x)) if x else 0 for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(n, pa.int64())], names=[*[c for c in batch.schema.names if c != "text"], "n_tokens"])
+            ids = pa.array([chunked.ids(x) for x in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return run
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
-def _boundaries(size: int, overlap: int):
-    """Pre-token boundaries of each chunk in its first and last overlap, counted from where that overlap begins."""
+def count_tokens(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``df`` with its column text replaced by n_tokens (0 for null and empty texts)."""
+    names = [c for c in df.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _pattern().finditer
+        chunked = Chunked(tokenizer)
         for batch in batches:
-            heads, tails = [], []
-            for text in batch.column("text").to_pylist():
-                ends = [e for e in (m.end() for m in find(text)) if text[e : e + 1] in (" ", "\n", "\t", "\r") and not text[e - 1].isspace()]
-                heads.append([e for e in ends if e < overlap])
-                tails.append([e - size for e in ends if size <= e])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=[*batch.schema.names, "heads", "tails"])
-
-    return run
-
-
-def pieces(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(doc_id, piece, text): the texts cut at boundaries on which overlapping chunks agree."""
-    spark = docs.sparkSession
-    n_chunks = F.greatest(F.lit(1), F.ceil((F.length("text") - overlap) / size)).cast("int")
-    chunked = docs.select("doc_id", "text", n_chunks.alias("n")).select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"), "text")
-    chunked = chunked.select("doc_id", "k", (F.col("k") == F.col("n") - 1).alias("last"), F.expr(f"CASE WHEN k = n - 1 THEN substring(text, k * {size} + 1) ELSE substring(text, k * {size} + 1, {size + overlap}) END").alias("text"))
-    seen = chunked.repartition(partitions(spark), "doc_id", "k").mapInArrow(_boundaries(size, overlap), "doc_id bigint, k int, last boolean, text string, heads array<int>, tails array<int>")
-    w = Window.partitionBy("doc_id").orderBy("k")
-    cut = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("heads", F.lag("tails").over(w))))
-    stitched = seen.withColumn("cut", cut)
-    stitched = stitched.withColumn("next", F.lead("cut").over(w)).withColumn("piece", F.sum(F.col("cut").isNotNull().cast("int")).over(w))
-    # a chunk that never agrees with the one before begins at its own start and is joined to it
-    part = F.expr(f"CASE WHEN last THEN substring(text, coalesce(cut, 0) + 1) ELSE substring(text, coalesce(cut, 0) + 1, {size} + coalesce(next, 0) - coalesce(cut, 0)) END")
-    return stitched.groupBy("doc_id", "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", part.alias("part")))), lambda x: x["part"]), "").alias("text"))
-
-
-def encode_corpus(documents: DataFrame, tokenizer: str | None = None, chunk_chars: int = 4096, overlap: int = 256) -> DataFrame:
-    """(doc_id, ids): token ids of each document's text, without special tokens; empty for null and empty texts.
-
-    ``tokenizer`` is the path of the vocabulary file. One row for each row of ``documents``, whose doc_id must be unique.
-    """
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    keys = [("doc_id", pa.int64())]
-    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= chunk_chars).mapInArrow(_encode(tokenizer, keys), "doc_id bigint, ids array<int>")
-    long = pieces(docs.filter(F.length("text") > chunk_chars), chunk_chars, overlap)
-    coded = long.mapInArrow(_encode(tokenizer, [*keys, ("piece", pa.int64())]), "doc_id bigint, piece bigint, ids array<int>")
-    joined = coded.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(joined)
+            n = [len(chunked.ids(x)) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(n, pa.int64())], names=[*names, "n_tokens"])
 
-
-def count_tokens(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """``df`` with its column text replaced by n_tokens (0 for null and empty texts)."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != "text") + ", n_tokens bigint"
-    return df.mapInArrow(_count(tokenizer), schema)
+    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != "text") + ", n_tokens bigint")
 
 
 def decode(ids: list[int], tokenizer: str | None = None) -> str:

@@ -69,8 +69,10 @@ def slow_spans(text, limit, overlap):
             strength[m.end()] = value
     out, start = [], 0
     while len(text) - start > limit:
-        window = range(start + max(overlap + 1, limit // 2), start + limit + 1)
-        cut = max(window, key=lambda p: (strength.get(p, 0), p))
+        half, high = start + max(overlap + 1, limit // 2), start + limit
+        late = [p for p in range(half, high + 1) if p in strength]
+        early = [p for p in range(start + overlap + 1, half) if p in strength]
+        cut = max(late or early or [high], key=lambda p: (strength.get(p, 0), p))
         out.append((start, cut))
         start = cut - overlap
     return [*out, (start, len(text))]
@@ -105,11 +107,20 @@ def test_pieces_end_at_an_earlier_boundary_before_a_run(spark):
     assert all(len(r["content"]) <= 1500 for r in out.collect())
 
 
+def test_long_headings_keep_every_level(spark):
+    deep = ["Outer", "M" * 1000, "I" * 700, "Inner"]
+    row = split.split_items(spark.createDataFrame([(1, deep, "text " * 300)], "chunk_id bigint, headings array<string>, text string")).first()
+    assert row["headings"][0] == "Outer" and row["headings"][3] == "Inner" and all(h.endswith("…") for h in row["headings"][1:3])
+    assert 1190 <= len(" > ".join(row["headings"])) + 2 <= 1199 and len(row["content"]) <= 1500
+    assert split.fitting_headings(["a" * 1197], 1199) == ["a" * 1197] and split.fitting_headings(["a" * 1198], 1199) == ["a" * 1196 + "…"]
+    assert split.fitting_headings(None, 10) == [] and len(split.fitting_headings(["h"] * 1000, 1199)) == 239
+
+
 @given(st.text(alphabet="ab. ,\n", max_size=400), st.integers(13, 60), st.integers(0, 6))
 @settings(max_examples=200, deadline=None)
 def test_hard_cuts_only_without_any_boundary(text, limit, overlap):
     ends = {m.end() for pattern, _ in split.CUTS for m in pattern.finditer(text)}
-    got = split.spans(text, limit, overlap, earlier=True)
+    got = split.spans(text, limit, overlap)
     assert all(b in ends or not ends.intersection(range(a + overlap + 1, a + limit + 1)) for a, b in got[:-1])
     assert all(b - a <= limit for a, b in got) and text == text[: got[0][1]] + "".join(text[a + overlap : b] for a, b in got[1:])
 
@@ -217,20 +228,24 @@ def test_stitched_ids_equal_whole_ids(spark):
     assert all(encode.decode(got[i]) == (t or "") for i, t in enumerate(texts))
 
 
-def test_long_notes_are_cut_by_default(spark, monkeypatch):
-    texts = ["A note of some words, äöü 你好.\n\n" * 700, "a short one", "x" * 9000, None]
-    real, cut = encode.pieces, []
-
-    def pieces(docs, size, overlap):
-        out = real(docs, size, overlap)
-        cut.extend(rows(out.groupBy("doc_id").count()))
-        return out
-
-    monkeypatch.setattr(encode, "pieces", pieces)
-    got = {r["doc_id"]: r["ids"] for r in encode.encode_corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
-    # a run without any boundary stays one piece
-    assert [i for i, _ in cut] == [0, 2] and dict(cut)[0] > 2 and dict(cut)[2] == 1
-    assert got == {i: encode.encoding().encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+def test_every_long_text_is_stitched():
+    chunked, plain = encode.Chunked(), encode.encoding()
+    text = "A note of some words, äöü 你好.\n\n" * 200
+    parts = list(chunked.pretokens(text))
+    assert len(parts) == len(encode.chunk_spans(text, 1024, 64)) > 5 and "".join(t for p in parts for t in p) == text
+    # a run without white space is one chunk with what follows it, up to the next place where both agree
+    run = "x" * 5000 + " and then" * 500
+    assert encode.chunk_spans(run, 1024, 64)[0][1] > 5000 and chunked.ids(run) == plain.encode_ordinary(run)
+    large = "Words of a very long note, one after another; 12 of them.\n" * 900_000
+    ids = chunked.ids(large)
+    assert len(large) > 50_000_000 and len(ids) > 10_000_000 and encode.decode(ids[:5000]) == large[: len(encode.decode(ids[:5000]))]
+    assert ids[-200:] == plain.encode_ordinary(large[-5900:])[-200:]
+
+
+@given(st.text(alphabet="ab '.1s\n\t\x1c\x85\u3000\u200bä好", max_size=300), st.integers(3, 40), st.integers(2, 12))
+@settings(max_examples=300, deadline=None)
+def test_stitched_ids_equal_whole_ids_of_any_text(text, size, overlap):
+    assert encode.Chunked(size=size, overlap=min(overlap, size - 1)).ids(text) == encode.encoding().encode_ordinary(text)
 
 
 # ---- 7: mixing ----
