@@ -32,7 +32,7 @@ _SIZE = "length(text) + CASE WHEN len(headings) > 0 THEN length(array_to_string(
 
 @REG.add("p3_found", f"SELECT DISTINCT chunk_id FROM chunks WHERE text IS NOT NULL AND {_SIZE} > 1500")
 def p3_found(spark, d):
-    return split.split_items(table(spark, d, "chunks")).select("chunk_id").distinct()
+    return split.split_items(table(spark, d, "chunks"), once=False).select("chunk_id").distinct()
 
 
 @REG.add("p3_pieces")

@@ -50,10 +50,11 @@ class StrongestCut:
         return int(max(table[i], table[j - (1 << level)]) % self.width)
 
 
-def spans(text: str, limit: int, overlap: int, earlier: bool = False) -> list[tuple[int, int]]:
+def spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, stop) of the pieces of ``text``: each at most ``limit`` long, each after the first repeats ``overlap`` characters.
 
-    Cuts are looked for in the second half of the window; with ``earlier``, where it holds none, in all of the window before it.
+    The strongest cut in the second half of the window is taken; where that holds none, the strongest of the rest of the
+    permissible window; only where there is none at all is a text cut inside a run.
     """
     if not 0 <= 2 * overlap < limit:
         raise ValueError("the limit must be more than twice the overlap")
@@ -61,13 +62,11 @@ def spans(text: str, limit: int, overlap: int, earlier: bool = False) -> list[tu
         return [(0, len(text))]
     index, out, start = StrongestCut(text), [], 0
     while len(text) - start > limit:
-        low, high = start + max(overlap + 1, limit // 2), start + limit
-        cut = index.best(low, high)
-        if cut is None and earlier:
-            cut = index.best(start + overlap + 1, low - 1)
+        first, low, high = start + overlap + 1, start + max(overlap + 1, limit // 2), start + limit
+        cut = index.best(low, high) or index.best(first, low - 1)
         if cut is None:  # no natural boundary: as late as possible, but not before a combining mark
             cut = high
-            while cut > low and (unicodedata.combining(text[cut]) or text[cut] in "‍️" or text[cut - 1] == "‍"):
+            while cut > first and (unicodedata.combining(text[cut]) or text[cut] in "\u200d\ufe0f" or text[cut - 1] == "\u200d"):
                 cut -= 1
         out.append((start, cut))
         start = cut - overlap
@@ -75,11 +74,25 @@ def spans(text: str, limit: int, overlap: int, earlier: bool = False) -> list[tu
 
 
 def fitting_headings(headings: list[str] | None, room: int) -> list[str]:
-    """The headings whose joined form has at most ``room`` characters: outer ones go first, a single one is cut."""
+    """The headings whose joined form and its two line breaks have at most ``room`` characters.
+
+    Where they have more, the longest are shortened alike, each to its beginning and an ellipsis, so that no level is lost;
+    where even the levels' separators do not fit, outer levels go.
+    """
     kept = [h for h in headings or [] if h is not None]
-    while len(kept) > 1 and len(" > ".join(kept)) + 2 > room:
+    while kept and 5 * len(kept) > room:
         kept = kept[1:]
-    return [kept[0][: room - 2]] if kept and len(kept[0]) + 2 > room and len(kept) == 1 else kept
+    free = room - 2 - 3 * (len(kept) - 1)
+    if sum(map(len, kept)) <= free:
+        return kept
+    # the largest length to which all longer headings can be cut
+    most, rest = free, sorted(map(len, kept))
+    for i, n in enumerate(rest):
+        most = free // (len(rest) - i)
+        if n > most:
+            break
+        free -= n
+    return [h if len(h) <= most else h[: most - 1] + "…" for h in kept]
 
 
 def item_size(headings: Column, text: Column) -> Column:
@@ -87,21 +100,25 @@ def item_size(headings: Column, text: Column) -> Column:
     return F.length(text) + F.when(F.size(headings) > 0, F.length(F.array_join(headings, " > ")) + 2).otherwise(0)
 
 
-def split_items(chunks: DataFrame, max_chars: int = 1500, overlap: int = 150) -> DataFrame:
+def split_items(chunks: DataFrame, max_chars: int = 1500, overlap: int = 150, once: bool = True) -> DataFrame:
     """Pieces of every chunk whose headings and text exceed ``max_chars``, and of no other.
 
-    ``content`` (headings, two line breaks, text) has at most ``max_chars`` characters. Headings that leave less than
-    three overlaps of room for text lose outer levels. Repeated rows count once. Other columns of ``chunks`` are ignored.
+    ``content`` (headings, two line breaks, text) has at most ``max_chars`` characters. Headings that leave less than two
+    overlaps and a character of room for text are shortened (see fitting_headings). Rows that repeat an id with the same
+    headings and text count once, or with ``once=False``, which spares the exchange of the texts, as often as they come.
+    Other columns of ``chunks`` are ignored.
     """
     over = chunks.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "headings", "text").filter(F.col("text").isNotNull() & (item_size(F.col("headings"), F.col("text")) > max_chars))
+    if once:
+        over = over.dropDuplicates(["chunk_id", "headings", "text"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                kept = fitting_headings(row["headings"], max_chars - 3 * overlap)
+                kept = fitting_headings(row["headings"], max_chars - 2 * overlap - 1)
                 head = " > ".join(kept) + "\n\n" if kept else ""
-                for i, (a, b) in enumerate(spans(row["text"], max_chars - len(head), overlap, earlier=True)):
+                for i, (a, b) in enumerate(spans(row["text"], max_chars - len(head), overlap)):
                     part = row["text"][a:b]
                     rows.append((row["chunk_id"], i, a, b, kept, part, head + part))
             yield pa.RecordBatch.from_arrays(
@@ -109,4 +126,4 @@ def split_items(chunks: DataFrame, max_chars: int = 1500, overlap: int = 150) ->
                 names=["chunk_id", "piece", "start", "stop", "headings", "text", "content"],
             )
 
-    return over.mapInArrow(cut, PIECES).dropDuplicates(["chunk_id", "piece", "start", "stop"])
+    return over.mapInArrow(cut, PIECES)
