@@ -1,12 +1,14 @@
 """The language of each item and of each segment of a mixed item, by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter holds one byte for each slot, one bit of it for each language; looking up an n-gram gives the
-mask of all languages that contain it. The n-grams are whole words and four-letter parts of words. Counts of set bits for
-each language, corrected for the filter's false positives, decide the language of a sentence; n-grams common to all
-languages (invented names, numbers' units) are in no filter.
-
-The filter is fitted on a bounded sample of documents (``sample_rows``). Function words label its clear sentences, their
-n-grams label the rest, and the n-grams of all labelled sentences fill the filter; declared labels are not used.
+A bit-sliced Bloom filter holds, for each slot, one bit for each language, in as many 64-bit words as the table of
+languages needs; looking up an n-gram gives the mask of all languages that contain it. The n-grams are whole words and
+four-letter parts of words. Counts of set bits for each language, corrected for the filter's false positives, decide the
+language of a sentence; n-grams common to most languages (invented names, numbers' units) are in no filter.
+
+The languages are a parameter: a table of a few function words for each (by default the five of the queries). The filter
+is fitted on a sample of documents, bounded by ``sample_rows`` and ``sample_chars``. Function words label its clear
+sentences, their n-grams label the rest, and the n-grams of all labelled sentences fill the filter; declared labels are
+not used.
 """
 
 from __future__ import annotations
@@ -24,8 +26,7 @@ from pyspark.sql import functions as F
 from .prose import BREAK, END, WORD, prose
 from .sample import hashed_sample
 
-LANGUAGES = ("en", "de", "fr", "es", "nl")
-#: Frequent function words of the five languages.
+#: Frequent function words of the five languages; any other table of this form may be given instead.
 FUNCTION_WORDS = {
     "en": "the and of to for with that is are was were not this from which what when where who how there it they have has we".split(),
     "de": "der die das und ist sind nicht mit von für auf wir wie ich ein eine werden wurde noch wenn auch im zu den dem".split(),
@@ -40,14 +41,13 @@ ISO_CODES = (
     "mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss "
     "st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
 ).split()
-ALL = (1 << len(LANGUAGES)) - 1
 HASHES = 3
 GRAM = 4
 MOST_CACHED = 300_000
 #: Texts that are judged at once.
 BLOCK = 256
 #: A sentence has a language with this much evidence, in words, and this share of its words.
-LEAST_EVIDENCE, LEAST_COVER = 1.5, 0.25
+LEAST_EVIDENCE, LEAST_COVER = 1.49, 0.249
 SEGMENT = "struct<start:int,stop:int,lang:string,confidence:double,words:bigint>"
 DETECTED = f"item_table string, item_id bigint, label string, languages array<struct<lang:string,share:double,confidence:double>>, segments array<{SEGMENT}>"
 
@@ -60,15 +60,16 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class Filters:
-    """The bit-sliced Bloom filter: a byte for each slot, its size fixed by parameter."""
+    """The bit-sliced Bloom filter: (slots, 64-bit words) with a bit for each language; its size is fixed by parameter."""
 
     slots: np.ndarray
+    languages: tuple[str, ...]
 
     @classmethod
-    def build(cls, masks: dict[str, int], bits: int) -> Filters:
-        f = cls(np.zeros(1 << bits, np.uint8))
+    def build(cls, masks: dict[str, int], bits: int, languages: tuple[str, ...]) -> Filters:
+        f = cls(np.zeros((1 << bits, (len(languages) + 63) // 64), np.uint64), languages)
         for gram, mask in masks.items():
-            f.slots[f.places(gram)] |= mask
+            f.slots[f.places(gram)] |= np.array([mask >> (64 * i) & (2**64 - 1) for i in range(f.slots.shape[1])], np.uint64)
         return f
 
     def places(self, gram: str) -> list[int]:
@@ -78,43 +79,41 @@ class Filters:
 
     def mask(self, gram: str) -> int:
         """Bits of all languages whose filter contains the n-gram."""
-        out = ALL
-        for p in self.places(gram):
-            out &= int(self.slots[p])
-        return out
+        return int.from_bytes(np.bitwise_and.reduce(self.slots[self.places(gram)], axis=0).tobytes(), "little")
+
+    def bits(self, grams: list[str]) -> np.ndarray:
+        """(n-grams, languages): which languages contain each."""
+        masks = [self.mask(g) for g in grams]
+        return np.array([[m >> i & 1 for i in range(len(self.languages))] for m in masks], np.float64).reshape(len(grams), len(self.languages))
 
     def false_positives(self) -> np.ndarray:
         """The chance, for each language, that an n-gram outside its filter is found in it."""
-        return np.array([np.count_nonzero(self.slots & (1 << i)) / len(self.slots) for i in range(len(LANGUAGES))]) ** HASHES
+        return np.array([np.count_nonzero(self.slots[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) / len(self.slots) for i in range(len(self.languages))]) ** HASHES
 
 
 class Evidence:
     """Evidence of a word for each language, cached; the whole word decides, else its parts do."""
 
     def __init__(self, filters: Filters) -> None:
-        self.filters, self.false = filters, filters.false_positives()
+        self.filters, self.false, self.n = filters, filters.false_positives(), len(filters.languages)
         self.clear()
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
         self.words: dict[str, np.ndarray] = {}
-        self.table = np.zeros((0, len(LANGUAGES)), np.float32)
+        self.table = np.zeros((0, self.n), np.float32)
         self.count = np.zeros(0, np.int64)
         self.ends = np.zeros(0, bool)
 
     def of(self, word: str) -> np.ndarray:
-        """The evidence of one word."""
-        none = np.zeros(len(LANGUAGES), np.float32)
-        whole = self.filters.mask(f"^{word}$")
-        if whole:
-            return np.array([(whole >> i) & 1 for i in range(len(LANGUAGES))], np.float32)
-        parts = grams(word) if 3 < len(word) < 60 else []
-        if not parts:
-            return none
-        masks = [self.filters.mask("~" + g) for g in parts]
-        hits = np.array([sum((m >> i) & 1 for m in masks) for i in range(len(LANGUAGES))], float)
-        share = np.clip((hits / len(parts) - self.false) / (1 - self.false), 0, 1)
-        return np.where(share >= 0.5, share * 0.8, 0).astype(np.float32)
+        """The evidence of one word: set bits less those to be expected of a word in no filter."""
+        whole = self.filters.bits([f"^{word}$"])[0]
+        if whole.any():
+            return ((whole - self.false) / (1 - self.false)).astype(np.float32)
+        parts = grams(word)
+        share = (self.filters.bits(["~" + g for g in parts]).mean(0) - self.false) / (1 - self.false)
+        # of a word with one or two parts both must speak for a language
+        return np.where(share >= (0.5 if len(parts) > 2 else 0.99), share * 0.8, 0).astype(np.float32)
 
     def lookup(self, tokens: list[str]) -> np.ndarray:
         """Row numbers in ``table`` (evidence), ``count`` (words) and ``ends`` (a sentence ends here) for each token."""
@@ -124,7 +123,7 @@ class Evidence:
         new = list(set(tokens).difference(ids))
         if new:
             ids.update(zip(new, range(len(ids), len(ids) + len(new)), strict=True))
-            rows, count = np.zeros((len(new), len(LANGUAGES)), np.float32), np.zeros(len(new), np.int64)
+            rows, count = np.zeros((len(new), self.n), np.float32), np.zeros(len(new), np.int64)
             for i, token in enumerate(new):
                 for w in WORD.findall(token):
                     if w not in self.words:
@@ -162,53 +161,57 @@ class Scan:
         return cls(evidence.table[ids], ids, starts, np.diff(np.r_[starts, len(ids)]), sizes, text[starts])
 
     def scores(self) -> np.ndarray:
-        return np.add.reduceat(self.rows.astype(np.float64), self.starts, axis=0) if len(self.starts) else np.zeros((0, len(LANGUAGES)))
+        return np.add.reduceat(self.rows.astype(np.float64), self.starts, axis=0) if len(self.starts) else np.zeros((0, self.rows.shape[1]))
 
 
-def _masks(counts: dict[str, Counter], words: dict[str, int], least: int, share: float) -> dict[str, int]:
-    """n-gram -> languages in which it is about as frequent as where it is most frequent; those of all languages left out."""
-    out = {}
-    for gram in set().union(*counts.values()):
-        rate = [counts[lang][gram] / max(1, words[lang]) for lang in LANGUAGES]
-        if sum(counts[lang][gram] for lang in LANGUAGES) < least:
+def _masks(counts: list[Counter], least: int, share: float) -> dict[str, int]:
+    """n-gram -> languages in which it is about as frequent as where it is most frequent; those of most languages left out."""
+    out, words = {}, [max(1, c.total()) for c in counts]
+    for gram in set().union(*counts):
+        times = [c[gram] for c in counts]
+        if sum(times) < least:
             continue
+        rate = [t / w for t, w in zip(times, words, strict=True)]
         top = max(rate)
         mask = sum(1 << i for i, r in enumerate(rate) if r >= share * top)
         # names occur at like rates everywhere; in small samples they miss some language by chance
-        if bin(mask).count("1") < 4:
+        if mask.bit_count() <= 0.6 * len(counts):
             out[gram] = mask
     return out
 
 
-def fit(texts: list[str], bits: int = 20, least: int = 3, share: float = 0.2) -> Filters:
-    """The filter of a sample of texts."""
-    seeds = {w: [w in FUNCTION_WORDS[lang] for lang in LANGUAGES] for lang in LANGUAGES for w in FUNCTION_WORDS[lang]}
-    filters = Filters.build({f"^{w}$": sum(1 << i for i, x in enumerate(m) if x) for w, m in seeds.items()}, bits)
+def fit(texts: list[str], bits: int = 20, least: int = 3, share: float = 0.2, seeds: dict[str, list[str]] | None = None) -> Filters:
+    """The filter of a sample of texts for the languages of the table ``seeds`` (language -> function words)."""
+    seeds = FUNCTION_WORDS if seeds is None else seeds
+    languages = tuple(seeds)
+    first: dict[str, int] = {}
+    for i, lang in enumerate(languages):
+        for w in seeds[lang]:
+            first[f"^{w}$"] = first.get(f"^{w}$", 0) | 1 << i
+    filters = Filters.build(first, bits, languages)
     for _ in range(3):
         evidence = Evidence(filters)
         seen = Scan.of(texts, evidence)
         names = list(evidence.ids)
         score = seen.scores()
         order = np.sort(score, 1)
-        clear = (seen.sizes >= 4) & (order[:, -1] >= 2) & (order[:, -1] >= 1.5 * order[:, -2]) if len(score) else np.zeros(0, bool)
+        clear = (seen.sizes >= 4) & (order[:, -1] >= 1.99) & (order[:, -1] >= 1.5 * order[:, -2]) if len(score) else np.zeros(0, bool)
         lang_of = np.repeat(np.where(clear, score.argmax(1), -1), seen.spans) if len(score) else np.zeros(0, np.int64)
-        counts, total = {}, {}
-        for i, lang in enumerate(LANGUAGES):
+        counts: list[Counter] = [Counter() for _ in languages]
+        for i in range(len(languages)):
             n = np.bincount(seen.ids[lang_of == i], minlength=len(names))
-            counts[lang] = Counter()
             for j in np.flatnonzero(n).tolist():
                 for w in WORD.findall(names[j]):
-                    counts[lang][f"^{w}$"] += int(n[j])
-            total[lang] = counts[lang].total()
-        whole = _masks(counts, total, least, share)
-        parts = {lang: Counter() for lang in LANGUAGES}
-        for lang in LANGUAGES:
-            for w, n in counts[lang].items():
+                    counts[i][f"^{w}$"] += int(n[j])
+        whole = _masks(counts, least, share)
+        parts: list[Counter] = [Counter() for _ in languages]
+        for some, of in zip(parts, counts, strict=True):
+            for w, n in of.items():
                 # names do not teach word parts
                 if w in whole:
                     for g in grams(w[1:-1]):
-                        parts[lang]["~" + g] += n
-        filters = Filters.build(whole | _masks(parts, total, least, share), bits)
+                        some["~" + g] += n
+        filters = Filters.build(whole | _masks(parts, least, share), bits, languages)
     return filters
 
 
@@ -234,11 +237,11 @@ def judge(texts: list[str | None], evidence: Evidence) -> list[list[tuple[int, i
     best = scores.argmax(1)
     order = np.sort(scores, 1)
     # evidence for other languages by words that speak against the best one
-    against = seen.rows[np.arange(len(seen.rows)), np.repeat(best, seen.spans)] == 0
+    against = seen.rows[np.arange(len(seen.rows)), np.repeat(best, seen.spans)] <= 0
     other = np.add.reduceat(seen.rows * against[:, None], seen.starts, axis=0).max(1)
     enough = order[:, -1] >= LEAST_EVIDENCE
     torn = enough & (other >= LEAST_EVIDENCE) & (seen.sizes >= 6)
-    sure = enough & (order[:, -1] >= LEAST_COVER * seen.sizes) & (order[:, -1] - order[:, -2] >= 0.5)
+    sure = enough & (order[:, -1] >= LEAST_COVER * seen.sizes) & (order[:, -1] - order[:, -2] >= 0.49)
     first = np.searchsorted(seen.text_of, np.arange(len(texts)))
 
     def add(text: int, i: int, lang: int, score: float, rival: float, words: int) -> None:
@@ -257,7 +260,7 @@ def judge(texts: list[str | None], evidence: Evidence) -> list[list[tuple[int, i
                 add(text, k, which, float(some[which]), float(np.delete(some, which).max()), n)
         elif sure[i]:
             add(text, k, lang, a, b, size)
-    return [[(a, b, LANGUAGES[lang], score / (score + rival), words) for a, b, lang, score, rival, words in runs] for runs in found]
+    return [[(a, b, evidence.filters.languages[lang], score / (score + max(0.0, rival)), words) for a, b, lang, score, rival, words in runs] for runs in found]
 
 
 def shares(segments: list[tuple[int, int, str, float, int]]) -> list[tuple[str, float, float]]:
@@ -277,11 +280,10 @@ def declared(label: Column) -> Column:
     return F.when(code.isin(ISO_CODES), code)
 
 
-def training_texts(documents: DataFrame, sample_rows: int) -> list[str]:
-    """At most ``sample_rows`` texts, those of the smallest hashed ids."""
-    texts = documents.filter("text is not null")
-    rows = hashed_sample(texts.select("doc_id", "text"), F.col("doc_id"), "language", sample_rows, texts.count())
-    return [r["text"] for r in rows.select("text").collect()]
+def training_texts(documents: DataFrame, sample_rows: int, sample_chars: int = 32_768) -> list[str]:
+    """At most ``sample_rows`` texts, those of the smallest hashed ids, none longer than ``sample_chars`` characters."""
+    rows = hashed_sample(documents.select("doc_id", "text"), F.col("doc_id"), "language", sample_rows, documents.count())
+    return [r["text"] for r in rows.filter(F.length("text") <= sample_chars).select("text").collect()]
 
 
 def items(documents: DataFrame, chunks: DataFrame, eval_queries: DataFrame) -> DataFrame:
@@ -298,10 +300,10 @@ def detect_languages(listed: DataFrame, filters: Filters) -> DataFrame:
     The filter has a fixed size and goes to the executors as a broadcast. Texts that are empty or have no prose get
     empty lists.
     """
-    shared = listed.sparkSession.sparkContext.broadcast(filters.slots)
+    shared = listed.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(Filters(shared.value))
+        evidence = Evidence(shared.value)
         segment = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int64())])
         language = pa.struct([("lang", pa.string()), ("share", pa.float64()), ("confidence", pa.float64())])
         for batch in batches:

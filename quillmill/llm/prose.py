@@ -6,14 +6,14 @@ import html
 import re
 import unicodedata
 
-FRONT = re.compile(r"\A\s*---\s.*?(?:\n---|\s---)(?=\s|$)\s*", re.S)
+FRONT = re.compile(r"\A[\s﻿]*---\s.*?(?:\n---|\s---)(?=\s|$)\s*", re.S)
 # line patterns begin with the line break before them, so that the search runs from one break to the next
 FENCE = re.compile(r"\n[ \t>]{0,6}(`{3,}|~{3,}).*?(?:\n[ \t>]{0,6}\1[`~]*[ \t]*(?=\n|\Z)|\Z)", re.S)
 INLINE = re.compile(r"(`+)[^`\n]*\1")
 TABLE = re.compile(r"\n[ \t]*\|[^\n]*")
 LINK = re.compile(r"!?\[\[[^\]\n]*\]\]|\]\([^)\s]*\)")
-ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+|\S{1,64}@\S{1,64}\.\w+")
-MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|<!--.*?-->", re.S)
+ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+|(?<![^\s@])[^\s@]++@[^\s@.]++\.[^\s@]++")
+MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]*+>|<!--.*?-->", re.S)
 TAG = re.compile(r"#(?<![\w/]#)[\w/-]+")
 #: Characters that do not show (soft hyphen, zero-width spaces and joiners, marks of direction and order).
 HIDDEN = ("\u00ad", "\u200b", "\u200c", "\u200d", "\u200e", "\u200f", "\u2060", "\ufeff")
@@ -23,14 +23,13 @@ BREAK = "¶"
 OVER = "§"
 END = re.compile(r"[.!?…][\"'»”’)\]*_]*$|^[-–/|¶]$")
 WORD = re.compile(r"[^\W\d_]+")
-#: A line that begins as a heading and is longer than this is a paragraph that lost its line break.
-LONGEST_HEADING = 90
-HEADING_LINE = re.compile(rf"\n[ \t]*#{{1,6}}[ \t]+([^\n]{{1,{LONGEST_HEADING - 3}}})(?=\n|\Z)")
+#: A line that begins as a heading and goes on after the end of a sentence is a paragraph that lost its line break.
+HEADING_LINE = re.compile(r"\n[ \t]*#{1,6}[ \t]+((?:(?![.!?…][\"'»”’)\]]*[ \t]+\S)[^\n])++)(?=\n|\Z)")
 
 
 def plain(text: str) -> str:
     """``text`` with everything that is no prose taken out, after a line break; line breaks stay."""
-    if "---" in text[:200]:
+    if "---" in text:
         text = FRONT.sub("", text, count=1)
     text = "\n" + text
     if "```" in text or "~~~" in text:
