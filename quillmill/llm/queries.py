@@ -104,3 +104,9 @@ def p8_found(spark, d):
 @REG.add("p8_composition")
 def p8_composition(spark, d):
     return subject.composition(*_subjects(spark, d))
+
+
+@REG.add("p8_functions")
+def p8_functions(spark, d):
+    model = subject.training_model(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+    return spark.createDataFrame(model.functions(), "function string, coverage double, accuracy double, accuracy_none double")
