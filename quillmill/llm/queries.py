@@ -59,7 +59,7 @@ def p5_counts(spark, d):
 
 
 @REG.add("p5_parts", _TAGS + """, s AS (SELECT path, list_filter(string_split(tag, '/'), lambda x: x <> '') AS w FROM t WHERE tag IS NOT NULL),
-g AS (SELECT path, n, array_to_string(list_slice(w, i, i + n - 1), '/') AS part FROM s, unnest([1, 2, 3]) AS a(n), unnest(range(1, len(w) + 1)) AS b(i) WHERE i + n - 1 <= len(w))
+g AS (SELECT path, n, array_to_string(list_slice(w, i, i + n - 1), '/') AS part FROM s, unnest(range(1, len(w) + 1)) AS a(n), unnest(range(1, len(w) + 1)) AS b(i) WHERE i + n - 1 <= len(w))
 SELECT CAST(n AS INT) AS n, part, count(*) AS rows, count(DISTINCT path) AS notes FROM g GROUP BY ALL""")
 def p5_parts(spark, d):
     return terms.tag_part_counts(table(spark, d, "tags"))

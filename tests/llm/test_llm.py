@@ -199,14 +199,28 @@ def test_ngram_counts_equal_brute_force(spark):
     times, where = Counter(), {}
     for rec, words in lists:
         kept = [w for w in words or [] if w]
-        for n in (1, 2, 3):
+        for n in range(1, len(kept) + 1):
             for i in range(len(kept) - n + 1):
                 g = (n, terms.END.join(kept[i : i + n]))
                 times[g] += 1
                 where.setdefault(g, set()).update([rec] if rec else [])
     for ranges in (1, 5):
-        got = {(x["n"], x["term"]): (x["occurrences"], x["records"]) for x in terms.term_counts(df, F.col("rec"), F.col("words"), 3, ranges).collect()}
+        got = {(x["n"], x["term"]): (x["occurrences"], x["records"]) for x in terms.term_counts(df, F.col("rec"), F.col("words"), None, ranges).collect()}
         assert got == {g: (times[g], len(where[g])) for g in times}
+    whole_times, whole_where = Counter(), {}
+    for rec, words in lists:
+        kept = [w for w in words or [] if w is not None]
+        if kept:
+            whole_times[len(kept), terms.END.join(kept)] += 1
+            whole_where.setdefault((len(kept), terms.END.join(kept)), set()).update([rec] if rec else [])
+    got = {(x["n"], x["term"]): (x["occurrences"], x["records"]) for x in terms.term_counts(df, F.col("rec"), F.col("words"), None, 6, whole=True).collect()}
+    assert got == {g: (whole_times[g], len(whole_where[g])) for g in whole_times}
+
+
+def test_one_tag_and_one_note_hold_a_third_of_all_rows(spark):
+    tags = [("hot", "hot/tag")] * 900 + [(f"p{i}", "hot/tag") for i in range(900)] + [(f"p{i % 50}", f"t{i}//x") for i in range(900)]
+    got = {r["tag"]: (r["rows"], r["notes"]) for r in terms.tag_counts(spark.createDataFrame(tags, "path string, tag string"), ranges=9).collect()}
+    assert got == {"hot/tag": (1800, 901)} | {f"t{i}//x": (1, 1) for i in range(900)}
 
 
 def test_tag_marks(spark):
