@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
+from ..session import partitions
 from ..sources.tables import table
 from . import encode, language, mix, neardup, split, subject, terms
 
@@ -70,14 +71,23 @@ def p6_ids(spark, d):
     return encode.encode_corpus(table(spark, d, "documents"))
 
 
+def _mixed(spark, d):
+    return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"), shards=partitions(spark, 16))
+
+
 @REG.add("p7_draws")
 def p7_draws(spark, d):
-    return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
+    return _mixed(spark, d)[0]
 
 
 @REG.add("p7_shares")
 def p7_shares(spark, d):
-    return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+    return _mixed(spark, d)[1]
+
+
+@REG.add("p7_options")
+def p7_options(spark, d):
+    return _mixed(spark, d)[2]
 
 
 @REG.add("p4_found")

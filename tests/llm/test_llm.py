@@ -274,16 +274,31 @@ def test_mix_holds_shares_and_caps(spark):
     docs = [(i, "word " * (1 + i % 7), s, 1) for i, s in enumerate(["big"] * 600 + ["small"] * 20 + [None, "unlisted"] * 5)] + [(9001, None, "big", 1), (9002, "", "small", 1)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, shard int")
     t = spark.createDataFrame([("big", 0.5, 1), ("small", 0.3, 3), ("absent", 0.2, 2), ("small", 0.3, 3), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
-    draws, shares = mix.mix_sources(d, t, total_tokens=1200, shards=4, blocks=16)
+    draws, shares, options = mix.mix_sources(d, t, total_tokens=1200, shards=4, blocks=16, mode="keep")
     got = {r["source"]: r for r in shares.collect()}
     per_doc = Counter((r["source"], r["doc_id"]) for r in draws.collect())
     assert set(s for s, _ in per_doc) == {"big", "small"} and max(n for (s, _), n in per_doc.items() if s == "small") <= 3 and max(n for (s, _), n in per_doc.items() if s == "big") == 1
-    assert 600 <= got["big"]["tokens"] < 608 and got["small"]["shortfall"] > 0 and got["absent"]["tokens"] == 0 and got["absent"]["shortfall"] == 240
+    assert 596 <= got["big"]["tokens"] <= 604 and got["small"]["shortfall"] > 0 and got["absent"]["tokens"] == 0 and got["absent"]["shortfall"] == 240
     assert abs(sum(r["share"] for r in got.values()) - 1) < 1e-9
-    assert rows(draws) == rows(mix.mix_sources(d, t, total_tokens=1200, shards=4, blocks=16)[0])
+    assert rows(draws) == rows(mix.mix_sources(d, t, total_tokens=1200, shards=4, blocks=16, mode="keep")[0])
+    # a shard is a partition in the order of its places
+    laid = draws.withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()).collect()
+    assert len({(r["p"], r["shard"]) for r in laid}) == len({r["shard"] for r in laid}) == 4
+    assert all([r["place"] for r in laid if r["shard"] == k] == sorted(r["place"] for r in laid if r["shard"] == k) for k in range(4))
+    assert {r["mode"] for r in options.collect()} == set(mix.MODES)
     assert mix.mix_sources(d.limit(0), t)[0].collect() == []
 
 
+def test_quotas_of_each_mode():
+    wanted, have = {"a": (0.5, 1), "b": (0.3, 2), "c": (0.15, 1), "d": (0.05, 9)}, {"a": 1000, "b": 60, "c": 1000, "d": 0}
+    assert mix.quotas(wanted, have, 1000, "keep") == {"a": 500, "b": 120, "c": 150, "d": 0}
+    spread = mix.quotas(wanted, have, 1000, "spread")
+    assert spread["b"] == 120 and sum(spread.values()) == 1000 and abs(spread["a"] / spread["c"] - 0.5 / 0.15) < 0.02
+    held = mix.quotas(wanted, have, 1000, "hold")
+    assert held["b"] == 120 and abs(held["a"] / held["b"] - 0.5 / 0.3) < 0.02 and held["d"] == 0
+    assert mix.quotas(wanted, {"a": 10, "b": 0, "c": 0, "d": 0}, 1000, "spread") == {"a": 10, "b": 0, "c": 0, "d": 0}
+
+
 # ---- 8: subjects ----
 
 
