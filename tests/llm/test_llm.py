@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -178,6 +179,42 @@ def test_large_classes_give_every_pair(spark):
     assert {(a, b) for _, a, b in rows(near.pairs(expand=64))} == kept
 
 
+def test_many_variants_of_one_template(spark):
+    base = [f"wort{i}" for i in range(80)]
+    # 20,000 texts, each with two words of its own; their buckets are far larger than a block
+    texts = [(i, " ".join([*base[: i % 70], f"eins{i}", *base[i % 70 + 1 : 79], f"zwei{i}"])) for i in range(20_000)] + [(90_000 + i, " ".join(f"fremd{i}x{j}" for j in range(60))) for i in range(5)]
+    near = neardup.NearDuplicates(spark.createDataFrame(texts, "chunk_id bigint, text string").repartition(8), spark.createDataFrame([], "note_id bigint, title string"))
+    assert not near._large().isEmpty()
+    got = {r["id"]: r["group_id"] for r in near.groups().collect()}
+    assert got == {i: 0 for i in range(20_000)} | {90_000 + i: 90_000 + i for i in range(5)}
+
+
+def test_blocks_of_large_and_hot_buckets_lose_no_pair(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"wort{i}" for i in range(80)]
+    texts = {i: " ".join(r.choice(["neu", "alt", "gut"]) + str(r.randrange(9)) if r.random() < 0.05 else w for w in base) for i in range(300)}
+    f = {i: neardup.features(neardup.TEXTS, t) for i, t in texts.items()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(f), 2) if len(f[a] & f[b]) >= 0.6 * len(f[a] | f[b])}
+    c, n = spark.createDataFrame(list(texts.items()), "chunk_id bigint, text string"), spark.createDataFrame([], "note_id bigint, title string")
+    whole = neardup.NearDuplicates(c, n)
+    assert len(want - set(rows(whole.pairs(), "id_a", "id_b"))) <= 0.005 * len(want)
+    for name, value in (("MANY", 10), ("SAMPLE", 2000)):
+        monkeypatch.setattr(neardup, name, value)
+    assert rows(neardup.NearDuplicates(c, n).pairs()) == rows(whole.pairs())
+    groups = {x["id"]: x["group_id"] for x in neardup.NearDuplicates(c, n).groups().collect()}
+    assert all(groups[a] == groups[b] for a, b in want)
+
+
+def test_rows_of_a_bucket_may_cross_batches():
+    buckets = np.repeat(np.arange(5), [1, 3, 700, 2, 300])
+    keys = np.concatenate([np.arange(k) for k in (1, 3, 700, 2, 300)])
+    batches = [pa.RecordBatch.from_arrays([pa.nulls(len(b), neardup.ITEM), pa.array(b), pa.array(k)], names=["item", "bucket", "k0"]) for b, k in zip(np.array_split(buckets, 9), np.array_split(keys, 9))]
+    got = pa.Table.from_batches(list(neardup._meet(iter(batches)))).to_pylist()
+    assert Counter(r["bucket"] for r in got if r["block"] is not None) == {2: 700, 4: 300}
+    assert sorted((r["bucket"], r["a"], r["block"]) for r in got if r["block"] is not None) == [(b, k, k // neardup.BLOCK) for b, n in ((2, 700), (4, 300)) for k in range(n)]
+    assert sorted((r["a"], r["b"]) for r in got if r["b"] is not None) == [(0, 1), (0, 1), (0, 2), (1, 2)]
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = neardup.NearDuplicates(spark.createDataFrame([], "chunk_id bigint, text string"), spark.createDataFrame([], "note_id bigint, title string"))
     assert empty.pairs().collect() == []
