@@ -31,8 +31,8 @@ Siehe [[Restic#Retention|Aufbewahrung]] und [[Infra/VPS]] #infra/vps #2024
 def test_note():
     n = markdown.parse("Ops/x.md", NOTE)
     assert (n.title, n.status, n.frontmatter["created"]) == ("Datensicherung", "curated", "2024-05-01")
-    assert n.tags == ["ops", "backup", "infra/vps"]
-    assert [(x.target, x.heading, x.alias, x.embed, x.line) for x in n.links] == [("Restic", "Retention", "Aufbewahrung", False, 8), ("Infra/VPS", None, None, False, 8), ("diagram.png", None, None, True, 12)]
+    assert n.tags == ["Ops", "Backup", "infra/vps"]
+    assert [(x.text, x.heading, x.alias, x.embed, x.line) for x in n.links] == [("Restic", "Retention", "Aufbewahrung", False, 8), ("Infra/VPS", None, None, False, 8), ("diagram.png", None, None, True, 12)]
 
 
 def test_title_falls_back():
@@ -51,7 +51,7 @@ def test_fields_and_links_are_rewritten_in_place():
     t = markdown.set_fields("---\na: 1  # kept\nupdated: x\n---\nbody", {"updated": "2024", "new": 1})
     assert t == "---\na: 1  # kept\nupdated: '2024'\nnew: 1\n---\nbody"
     assert markdown.set_fields("no block", {"a": 1}) == "no block"
-    assert markdown.rewrite_links("![[Old#S|A]] [[Keep]]", lambda x: "New" if x.target == "Old" else None) == ("![[New#S|A]] [[Keep]]", 1)
+    assert markdown.rewrite_links("![[Old#S|A]] [[Keep]]", lambda target: "New" if target == "Old" else None) == ("![[New#S|A]] [[Keep]]", 1)
 
 
 def test_chunks_follow_headings():
