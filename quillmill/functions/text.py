@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import unicodedata
+from zoneinfo import ZoneInfo
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -74,6 +76,12 @@ def iso_time(seconds: Column, zone: str) -> Column:
     return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)
 
 
+def parse_time(text: str, zone: str) -> int:
+    """Unix seconds of an ISO 8601 date or time; one without an offset is in ``zone``. Anything else is a ValueError."""
+    at = dt.datetime.fromisoformat(text.strip())
+    return int((at if at.tzinfo else at.replace(tzinfo=ZoneInfo(zone))).timestamp())
+
+
 def content_sha(content: Column) -> Column:
     """SHA-256 of bytes or text, in hex."""
     return F.sha2(content.cast("binary"), 256)

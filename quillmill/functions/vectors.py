@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A word, and (in _place) which place and sign its digest stands for.
 _WORD = re.compile(r"\w+")
 DIM = 256
 
@@ -49,11 +50,17 @@ class HashEmbedder:
         return vector / length if length else vector
 
     def passages(self, texts: list[str]) -> np.ndarray:
-        return np.stack([self.query(t) for t in texts]) if texts else np.zeros((0, self.dim), np.float32)
+        out = np.zeros((len(texts), self.dim), np.float32)
+        for row, text in zip(out, texts, strict=True):
+            row += self.query(text)
+        return out
 
 
-def embed(df: DataFrame, text: str, factory: Callable[[], Embedder] = HashEmbedder, into: str = "embedding", batch: int = 32) -> DataFrame:
-    """``df`` with the embedding of its column ``text`` (null counts as empty); the model is loaded once for each task."""
+def embed(df: DataFrame, text: str, factory: Callable[[], Embedder] = HashEmbedder, into: str = "embedding", batch: int = 32, queries: bool = False) -> DataFrame:
+    """``df`` with the embedding of its column ``text`` (null counts as empty); the model is loaded once for each task.
+
+    ``queries`` embeds the texts as queries, which some models tell from passages.
+    """
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != into) + f", `{into}` array<float>"
     names = [c for c in df.columns if c != into]
 
@@ -61,7 +68,8 @@ def embed(df: DataFrame, text: str, factory: Callable[[], Embedder] = HashEmbedd
         model = factory()
         for b in batches:
             texts = [x or "" for x in b.column(text).to_pylist()]
-            parts = [model.passages(texts[i : i + batch]) for i in range(0, len(texts), batch)]
+            some = (lambda x: np.stack([model.query(t) for t in x])) if queries else model.passages
+            parts = [some(texts[i : i + batch]) for i in range(0, len(texts), batch)]
             matrix = np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, model.dim), np.float32)
             flat = pa.array(matrix.ravel(), pa.float32())
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * matrix.shape[1], pa.int32()), flat)

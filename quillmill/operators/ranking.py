@@ -1,8 +1,8 @@
 """Ranked retrieval for one query or many at once: BM25 over weighted columns, exact cosine, reciprocal rank fusion.
 
-A query set is a table (qid, query); all of its queries run in one plan. Corpus statistics always cover the whole corpus,
-whatever the filters. Only postings of terms that some query asks for are counted, so the shuffle is in the size of the
-matches and not of the corpus.
+A query set is a table (qid, query); all of its queries run in one plan. Keyword search reads stored postings, which are
+clustered by term, so a scan fetches the row groups of the asked terms only. Corpus statistics always cover the whole
+corpus, whatever the filters. Query sets of any size meet the postings and vectors in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from ..session import cut
 #: Scores that agree to so many digits are ties; the smaller id goes first.
 DIGITS = 9
 FLOOR = 1e-6
-#: Parts into which the postings of each asked term are spread.
-SALTS = 8
-#: Numbers of a query matrix that is broadcast: 64 MB at most.
-MATRIX = 8_000_000
+#: Rows (query, phrase) and numbers of query vectors that are broadcast at once: about 64 MB of either.
+ASKED, MATRIX = 500_000, 8_000_000
+#: Rows (query, phrase) that are held by the driver.
+FEW = 1000
+#: Postings of a term in a chunk: the places of the term in each column, and the chunk's tokens in all.
+POSTINGS = "term string, chunk_id bigint, path_key bigint, size int, title array<int>, headings array<int>, text array<int>"
 
 
 def current_notes(notes: DataFrame) -> DataFrame:
@@ -49,9 +51,9 @@ def indexed_chunks(chunks: DataFrame, notes: DataFrame, tags: DataFrame | None =
     return noted.join(tags, "path", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
-def tokenised(indexed: DataFrame) -> DataFrame:
+def tokenised(indexed: DataFrame, *keep: str) -> DataFrame:
     """(chunk_id, title, headings, text as token arrays, size): tokens of each column and of all columns together."""
-    parts = indexed.select("chunk_id", tokens(F.col("title")).alias("title"), tokens(F.array_join("headings", " ")).alias("headings"), tokens(F.col("text")).alias("text"))
+    parts = indexed.select("chunk_id", *keep, tokens(F.col("title")).alias("title"), tokens(F.array_join("headings", " ")).alias("headings"), tokens(F.col("text")).alias("text"))
     return parts.withColumn("size", F.size("title") + F.size("headings") + F.size("text"))
 
 
@@ -62,47 +64,95 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return parts.select("qid", F.array_join("parts", " ").alias("phrase"), F.size("parts").alias("words"))
 
 
-def _grams(column: str, n: int) -> Column:
-    if n == 1:
-        return F.col(column)
-    return F.when(F.size(column) >= n, F.transform(F.sequence(F.lit(1), F.size(column) - n + 1), lambda i: F.array_join(F.slice(F.col(column), i, n), " "))).otherwise(F.array().cast("array<string>"))
+def postings(indexed: DataFrame) -> DataFrame:
+    """The inverted index (see POSTINGS) of chunks with their note's title; a chunk's rows are made where the chunk is.
 
+    Null columns have no tokens; chunks without any token have no rows. ``path_key`` is a hash of the chunk's path.
+    """
+    docs = tokenised(indexed.withColumn("path_key", F.xxhash64("path") if "path" in indexed.columns else F.lit(None).cast("bigint")), "path_key")
+    places = pa.list_(pa.int32())
 
-def bm25(queries: DataFrame, indexed: DataFrame, wanted: Column | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(qid, chunk_id, score) of all chunks that match a query and the predicate ``wanted`` over ``indexed``'s columns.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for chunk, path, size, *columns in zip(*[b.column(c).to_pylist() for c in ("chunk_id", "path_key", "size", "title", "headings", "text")], strict=True):
+                found: dict[str, tuple[list, list, list]] = {}
+                for c, tokens_ in enumerate(columns):
+                    for i, t in enumerate(tokens_):
+                        found.setdefault(t, ([], [], []))[c].append(i)
+                for t, at in found.items():
+                    for values, v in zip(out, (t, chunk, path, size, *at), strict=True):
+                        values.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int32(), places, places, places), strict=True)], names=["term", "chunk_id", "path_key", "size", "title", "headings", "text"])
+
+    return docs.select("chunk_id", "path_key", "size", "title", "headings", "text").mapInArrow(run, POSTINGS)
+
+
+def by_term(stored: DataFrame) -> DataFrame:
+    """Postings laid out for storing: in ranges of terms, a hot term over several of them, sorted, so that scans can skip."""
+    return stored.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+
+
+def corpus_statistics(indexed: DataFrame) -> tuple[int, int]:
+    """(chunks, tokens) of the whole corpus."""
+    r = tokenised(indexed).agg(F.count("*").alias("n"), F.sum("size").alias("t")).first()
+    return r["n"], r["t"] or 0
+
+
+def _frequencies(stored: DataFrame, phrases: DataFrame, config: EngineConfig) -> DataFrame:
+    """(phrase, chunk_id, size, f): how often each asked phrase is in each chunk, weighted by columns."""
+    weights = (("title", config.title_weight), ("headings", config.headings_weight), ("text", config.text_weight))
+    parts = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("i", "term"), "words").distinct()
+    weighed = lambda column: sum((F.lit(w) * F.size(column(c)) for c, w in weights[1:]), F.lit(weights[0][1]) * F.size(column(weights[0][0])))
+    single = stored.join(parts.filter("words = 1"), "term").select("phrase", "chunk_id", "size", weighed(F.col).alias("f"))
+    # the parts of a phrase stand side by side: their places, each less its place in the phrase, agree
+    shifted = [F.transform(c, lambda x: x - F.col("i")).alias(c) for c, _ in weights]
+    held = stored.join(parts.filter("words > 1"), "term").select("phrase", "words", "chunk_id", "size", "i", F.struct(*shifted).alias("at"))
+    met = held.groupBy("phrase", "words", "chunk_id", "size").agg(F.collect_list("at").alias("at")).filter(F.size("at") == F.col("words"))
+    common = lambda c: F.reduce(F.slice("at", 2, F.col("words")), F.element_at("at", 1)[c], lambda x, y: F.array_intersect(x, y[c]))
+    return single.unionByName(met.select("phrase", "chunk_id", "size", weighed(common).alias("f")).filter("f > 0"))
+
+
+def bm25_stored(queries: DataFrame, stored: DataFrame, statistics: tuple[int, int], among: DataFrame | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(qid, chunk_id, score) of all chunks that match a query, from stored postings and the (chunks, tokens) of the corpus.
 
+    ``among`` (chunk_id) keeps only those chunks; it goes below the scoring, and the statistics stay those of the corpus.
     Each query term counts once. Terms in half of the chunks or more weigh next to nothing. Queries without terms have no
-    rows.
+    rows. The postings of the asked terms are fetched once; scores are then summed where a chunk's postings lie, so only
+    the best of each partition are exchanged.
     """
-    docs = tokenised(indexed)
     phrases = query_phrases(queries)
-    lengths = [r["words"] for r in phrases.select("words").distinct().collect()]
-    # the empty phrase stands once in every chunk and carries the corpus statistics through the same pass
-    asked = phrases.select("phrase").unionByName(queries.sparkSession.createDataFrame([("",)], "phrase string")).distinct()
-    weights = (("title", config.title_weight), ("headings", config.headings_weight), ("text", config.text_weight))
-
-    def weighed(column: str, weight: float, n: int) -> Column:
-        return F.transform(_grams(column, n), lambda t: F.struct(t.alias("phrase"), F.lit(weight).alias("w")))
-
-    every = F.array(F.struct(F.lit("").alias("phrase"), F.lit(0.0).alias("w")))
-    listed = F.concat(every, *[weighed(c, w, n) for n in lengths or [1] for c, w in weights])
-    hits = docs.select("chunk_id", "size", F.explode(listed).alias("p")).select("chunk_id", "size", "p.phrase", "p.w").join(asked, "phrase")
-    # the postings of the asked phrases are written once and read for document frequencies, statistics and scores
-    tf = cut(hits.groupBy("phrase", "chunk_id", "size").agg(F.sum("w").alias("f")))
-    stats = tf.filter("phrase = ''").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-    tf = tf.filter("phrase <> ''")
-    n = float(stats["n"] or 0)
-    held = tf.groupBy("phrase").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = held.select("phrase", F.when(F.col("idf") > 0, F.col("idf")).otherwise(FLOOR).alias("idf"))
-    long = config.k1 * (1 - config.b + config.b * F.col("size") / F.lit(float(stats["mean"] or 1.0)))
+    rows = phrases.limit(FEW + 1).collect()
+    if len(rows) <= FEW:  # few terms reach the scan as a filter, and scans of theirs are cheap enough to be made twice
+        phrases, number = queries.sparkSession.createDataFrame(rows, phrases.schema), len(rows)
+        tf = _frequencies(stored.filter(F.col("term").isin(sorted({t for r in rows for t in r["phrase"].split(" ")}))), phrases.select("phrase", "words").distinct(), config)
+    else:
+        phrases = cut(phrases)
+        number = phrases.count()
+        terms = phrases.select(F.explode(F.split("phrase", " ")).alias("term")).distinct()
+        tf = cut(_frequencies(stored.join(terms, "term", "left_semi"), phrases.select("phrase", "words").distinct(), config))
+    n, tokens_ = statistics
+    held = tf.groupBy("phrase").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = held.select("phrase", F.when(idf > 0, idf).otherwise(FLOOR).alias("idf"))
+    long = config.k1 * (1 - config.b + config.b * F.col("size") / F.lit(tokens_ / n if n and tokens_ else 1.0))
     part = F.col("idf") * F.col("f") * (config.k1 + 1) / (F.col("f") + long)
-    # a term that each document and many queries hold is a hot key: its postings are spread over salts, its queries copied
-    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int").alias("salt")
-    asking = phrases.select("qid", "phrase").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    scored = tf.join(weight, "phrase").select("phrase", "chunk_id", part.alias("part"), salt).join(asking, ["phrase", "salt"]).groupBy("qid", "chunk_id").agg(F.sum("part").alias("score"))
-    if wanted is not None:
-        scored = scored.join(indexed.filter(wanted).select("chunk_id"), "chunk_id", "left_semi")
-    return scored.select("qid", "chunk_id", "score")
+    if among is not None:
+        tf = tf.join(among.select("chunk_id"), "chunk_id", "left_semi")
+    placed = tf.repartition("chunk_id")
+    asking = phrases.select("qid", "phrase").join(weight, "phrase")
+    blocks = max(1, -(-number // ASKED))
+    scored = None
+    for i in range(blocks):  # at most ASKED rows of the query set at once, about
+        mine = asking if blocks == 1 else asking.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        one = placed.join(F.broadcast(mine), "phrase").select("qid", "chunk_id", part.alias("part")).groupBy("qid", "chunk_id").agg(F.sum("part").alias("score"))
+        scored = one if scored is None else scored.unionByName(one)
+    return scored
+
+
+def bm25(queries: DataFrame, indexed: DataFrame, wanted: Column | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """:func:`bm25_stored` of chunks that have no stored postings; ``wanted`` is a predicate over ``indexed``'s columns."""
+    return bm25_stored(queries, postings(indexed), corpus_statistics(indexed), None if wanted is None else indexed.filter(wanted), config)
 
 
 def top(scored: DataFrame, k: int, best_first: bool = True) -> DataFrame:
@@ -125,17 +175,25 @@ def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, score, rank): the k nearest chunks of each query, as :func:`top` of :func:`cosine` gives them.
 
-    Query sets of up to MATRIX numbers are multiplied as one matrix with each Arrow batch of vectors, and each batch only
-    passes on what can still be among the k; larger ones take the join.
+    The query vectors are multiplied with each Arrow batch of vectors in matrices of up to MATRIX numbers, one for each
+    length of vectors, and each batch only passes on what can still be among the k.
     """
-    asked = queries.select("qid", "vector").filter("vector is not null")
-    size = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
-    width = asked.agg(F.max(F.size("vector")).alias("a"), F.min(F.size("vector")).alias("b")).first()
-    if not 0 < size <= MATRIX or width["a"] != width["b"]:
-        return top(cosine(vectors, queries), k, best_first=False)
-    rows = asked.collect()
+    asked = queries.select("qid", "vector").filter("vector is not null").withColumn("width", F.size("vector"))
+    counts = {r["width"]: r["count"] for r in asked.groupBy("width").count().collect()}
+    near = None
+    for width, number in sorted(counts.items()):
+        blocks = max(1, -(-number * width // MATRIX))
+        for i in range(blocks):
+            mine = asked.filter((F.col("width") == width) & (F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i))
+            one = _nearest(vectors, mine.collect(), width, k)
+            near = one if near is None else near.unionByName(one)
+    return top(near if near is not None else cosine(vectors.limit(0), asked), k, best_first=False)
+
+
+def _nearest(vectors: DataFrame, rows: list, width: int, k: int) -> DataFrame:
+    """(qid, chunk_id, score): of each batch of vectors the k nearest to each query of one block."""
     ids = np.array([r["qid"] for r in rows], np.int64)
-    matrix = np.array([r["vector"] for r in rows], np.float64)
+    matrix = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), width)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, np.sqrt((matrix * matrix).sum(1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +218,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 score = np.take_along_axis(far, best, 0).T.ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 512], len(best))), pa.array(chunk[best.T.ravel()]), pa.array(score, mask=np.isnan(score))], names=["qid", "chunk_id", "score"])
 
-    near = vectors.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding").filter("embedding is not null").mapInArrow(run, "qid bigint, chunk_id bigint, score double")
-    return top(near, k, best_first=False)
+    return vectors.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding").filter("embedding is not null").mapInArrow(run, "qid bigint, chunk_id bigint, score double")
 
 
 def fuse(keyword: DataFrame, semantic: DataFrame, limit: int, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -183,15 +240,10 @@ def hits(ranked: DataFrame, indexed: DataFrame) -> DataFrame:
     return ranked.join(indexed, "chunk_id").select("qid", "rank", "path", "title", "headings", "text", "score", "match", "kind", "status", "tags", "modified")
 
 
-def index_terms(indexed: DataFrame) -> DataFrame:
-    """The stored inverted index: (term, chunk_id, column, positions), to be written bucketed by term."""
-    docs = tokenised(indexed)
-
-    def placed(column: str) -> Column:
-        return F.transform(F.col(column), lambda t, i: F.struct(t.alias("term"), F.lit(column).alias("column"), i.alias("position")))
-
-    flat = F.concat(*[placed(c) for c in ("title", "headings", "text")])
-    return docs.select("chunk_id", F.explode(flat).alias("p")).groupBy("p.term", "chunk_id", "p.column").agg(F.array_sort(F.collect_list("p.position")).alias("positions"))
+def index_terms(stored: DataFrame) -> DataFrame:
+    """(term, chunk_id, column, positions) of postings: a row for each column that holds the term."""
+    columns = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("positions")) for c in ("title", "headings", "text")])
+    return stored.select("term", "chunk_id", F.inline(columns)).filter(F.size("positions") > 0)
 
 
-__all__ = ["TOKEN", "bm25", "cosine", "cosine_top", "current_notes", "fuse", "hits", "index_terms", "indexed_chunks", "query_phrases", "tag_lists", "tokenised", "top"]
+__all__ = ["TOKEN", "bm25", "bm25_stored", "by_term", "corpus_statistics", "cosine", "cosine_top", "current_notes", "fuse", "hits", "index_terms", "indexed_chunks", "postings", "query_phrases", "tag_lists", "tokenised", "top"]

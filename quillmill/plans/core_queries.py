@@ -153,14 +153,17 @@ def f5_f6_modified_range(spark, d):
 # ---- joins, sets, counts ----
 
 
-@REG.add("j8_removed", f"SELECT path FROM {_STATE.format(T1)} WHERE status <> 'D' AND path NOT IN (SELECT path FROM {_STATE.format(T2)} WHERE status <> 'D')")
+@REG.add("j8_removed", f"SELECT path FROM {_STATE.format(T2)} WHERE path NOT IN (SELECT path FROM {_STATE.format(T2)} WHERE status <> 'D') UNION SELECT DISTINCT path FROM changes WHERE path IS NOT NULL AND changed_at < TIMESTAMP '{T2}' AND path NOT IN (SELECT path FROM {_STATE.format(T2)} WHERE status <> 'D')")
 def j8_removed(spark, d):
-    return incremental.removed(_listing(spark, d, T1), _listing(spark, d, T2))
+    # every path that was ever there before T2, against what is there at T2
+    ever = table(spark, d, "changes").filter(F.col("path").isNotNull() & (F.col("changed_at") < F.lit(T2).cast("timestamp_ntz")))
+    return incremental.removed(ever, _listing(spark, d, T2))
 
 
-@REG.add("j10_missing_relevant", "SELECT DISTINCT path FROM (SELECT unnest(relevant) AS path FROM eval_queries) WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM notes WHERE path IS NOT NULL)")
+@REG.add("j10_missing_relevant", "SELECT DISTINCT path FROM (SELECT unnest(relevant) AS path FROM eval_queries) WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM notes WHERE path IS NOT NULL AND status = 'curated')")
 def j10_missing_relevant(spark, d):
-    return evaluate.missing_relevant(_asked(spark, d), _notes(spark, d)).filter("path is not null")
+    # against the notes that were ever curated, so that some are missing
+    return evaluate.missing_relevant(_asked(spark, d), table(spark, d, "notes").filter("path is not null and status = 'curated'")).filter("path is not null")
 
 
 @REG.add("o4_recheck", f"""WITH c AS (SELECT path, status AS op, 0 AS i FROM {_STATE.format(T1)} UNION ALL SELECT DISTINCT path, 'M', 1 FROM notes WHERE status = 'draft' AND path IS NOT NULL UNION ALL SELECT DISTINCT path, 'M', 2 FROM notes WHERE status = 'inbox' AND path IS NOT NULL)
@@ -181,14 +184,7 @@ def a1_status(spark, d):
 @REG.add("a9_percentiles", """WITH v AS (SELECT event_type, list_sort(list(value)) AS v, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type)
 SELECT event_type, round(v[least(n, CAST(round_even(0.5 * (n - 1), 0) AS BIGINT) + 1)], 1) AS p50, round(v[least(n, CAST(round_even(0.95 * (n - 1), 0) AS BIGINT) + 1)], 1) AS p95 FROM v""")
 def a9_percentiles(spark, d):
-    # nearest rank by position: rows are ranked by a window over a bucketed sort and never gathered in one array
-    events = table(spark, d, "events").filter("value is not null")
-    n = events.groupBy("event_type").agg(F.count("*").alias("n"))
-    counts = events.groupBy("event_type", "value").agg(F.count("*").alias("c")).join(n, "event_type")
-    up_to = F.sum("c").over(ranking.Window.partitionBy("event_type").orderBy("value"))
-    at = lambda p: F.least(F.col("n"), F.bround(F.lit(p) * (F.col("n") - 1)).cast("bigint") + 1)
-    pick = lambda p: F.round(F.min(F.when(F.col("up_to") >= at(p), F.col("value"))), 1)
-    return counts.withColumn("up_to", up_to).groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
+    return evaluate.percentiles(table(spark, d, "events"), "event_type", "value")
 
 
 # ---- retrieval ----
@@ -238,7 +234,7 @@ def r6_hits(spark, d):
 
 @REG.add("r2_postings", f"WITH {_CUR}, {_TAGL}, {_IDX}, p AS (SELECT chunk_id, 'title' AS \"column\", {_TOK.format('title')} AS w FROM idx UNION ALL SELECT chunk_id, 'headings', {_TOK.format(chr(39).join(['array_to_string(headings, ', ' ', ')']))} FROM idx UNION ALL SELECT chunk_id, 'text', {_TOK.format('text')} FROM idx), e AS (SELECT chunk_id, \"column\", unnest(w) AS term FROM p) SELECT term, chunk_id, \"column\", count(*) AS tf FROM e GROUP BY ALL")
 def r2_postings(spark, d):
-    return ranking.index_terms(_indexed(spark, d)).select("term", "chunk_id", "column", F.size("positions").cast("bigint").alias("tf"))
+    return ranking.index_terms(ranking.postings(_indexed(spark, d))).select("term", "chunk_id", "column", F.size("positions").cast("bigint").alias("tf"))
 
 
 @REG.add("w6_list_notes", f"WITH {_CUR}, m AS (SELECT * FROM cur WHERE starts_with(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'projekte/')) SELECT path, title, status, (SELECT count(*) FROM m) AS total FROM m ORDER BY path LIMIT 50")
@@ -418,11 +414,30 @@ def i8_stream_states(spark, d):
 # ---- writes, evaluation ----
 
 
-@REG.add("m4_append", r"SELECT doc_id, CASE WHEN b = '' THEN '' ELSE b || chr(10) || chr(10) END || 'Added.' || chr(10) AS text FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\n+\z', '') AS b FROM documents)")
-def m4_append(spark, d):
+@REG.add("m4_append_column", r"SELECT doc_id, CASE WHEN b = '' THEN '' ELSE b || chr(10) || chr(10) END || 'Added.' || chr(10) AS text FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\n+\z', '') AS b FROM documents)")
+def m4_append_column(spark, d):
     return table(spark, d, "documents").select("doc_id", writes.append_text(F.col("text"), "Added.\n").alias("text"))
 
 
+@REG.add("m4_append", r"""WITH f AS (SELECT 'doc-' || doc_id || '.md' AS path, coalesce(text, '') AS text, doc_id = (SELECT min(doc_id) FROM documents) AS here FROM documents)
+SELECT path, CASE WHEN here THEN regexp_replace(text, '\n+\z', '') || CASE WHEN regexp_replace(text, '\n+\z', '') = '' THEN '' ELSE chr(10) || chr(10) END || 'Added.' || chr(10) ELSE text END AS text FROM f""")
+def m4_append(spark, d):
+    import datetime as dt
+
+    docs = table(spark, d, "documents")
+    first = docs.agg(F.min("doc_id")).first()[0]
+    texts = docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    return writes.append_note(texts, f"doc-{first}.md", "Added.\n", dt.datetime(2026, 1, 1))[0]
+
+
+@REG.add("m5_delete", f"{_RES} SELECT DISTINCT src FROM r WHERE resolved = (SELECT mode(resolved) FROM r) AND src <> resolved")
+def m5_delete(spark, d):
+    # the note with the most links is taken out
+    links, notes = _links(spark, d).filter("src is not null"), _notes(spark, d)
+    most = graph.resolve(links, notes, into="path").filter("path is not null").groupBy("path").count().orderBy(F.desc("count")).first()["path"]
+    return writes.delete_note(notes.select("path", F.lit("").alias("text")), links, most)[1].select("src")
+
+
 def _eval_rows(spark, d):
     indexed, asked = _indexed(spark, d), _asked(spark, d)
     ranked = ranking.top(ranking.bm25(asked, indexed), 20)

@@ -38,6 +38,17 @@ def not_found(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.filter("mrr = 0").join(queries.select("qid", "query"), "qid").select("qid", "query")
 
 
+def percentiles(df: DataFrame, group: str, value: str, percents: tuple[int, ...] = (50, 95)) -> DataFrame:
+    """(group, p50, ...): nearest ranks as :func:`percentile` has them, of any number of values, which are counted and not gathered."""
+    held = df.filter(F.col(value).isNotNull())
+    n = held.groupBy(group).agg(F.count("*").alias("n"))
+    counts = held.groupBy(group, value).agg(F.count("*").alias("c")).join(n, group)
+    up_to = F.sum("c").over(Window.partitionBy(group).orderBy(value))
+    at = lambda p: F.least(F.col("n"), F.bround(F.lit(p / 100) * (F.col("n") - 1)).cast("bigint") + 1)
+    pick = lambda p: F.round(F.min(F.when(F.col("up_to") >= at(p), F.col(value))), 1).alias(f"p{p}")
+    return counts.withColumn("up_to", up_to).groupBy(group).agg(*[pick(p) for p in percents])
+
+
 def percentile(values: Column, percent: float) -> Column:
     """Nearest rank of an array, rounded half to even and to one digit; 0 for an empty one."""
     n = F.size(values)
@@ -46,11 +57,11 @@ def percentile(values: Column, percent: float) -> Column:
 
 
 def load_queries(text: str) -> list[dict]:
-    """Evaluation queries of a YAML list; each needs ``query`` and ``relevant``."""
+    """Evaluation queries of a YAML list, numbered from 1; each needs ``query`` and ``relevant``."""
     import yaml
 
     out = []
-    for i, entry in enumerate(yaml.safe_load(text) or []):
+    for i, entry in enumerate(yaml.safe_load(text) or [], 1):
         relevant = entry.get("relevant") if isinstance(entry, dict) else None
         relevant = [relevant] if isinstance(relevant, str) else relevant
         if not isinstance(entry, dict) or not entry.get("query") or not relevant:
@@ -59,9 +70,11 @@ def load_queries(text: str) -> list[dict]:
     return out
 
 
-def format_report(metrics: dict[str, list], seconds: float | None = None) -> str:
+def format_report(metrics: dict[str, list], seconds: float | None = None, latency: dict[str, dict] | None = None, missed: dict[str, list[str]] | None = None) -> str:
     """Metrics by mode as a text table."""
     lines = ["mode       group   n    hit@1  recall  mrr"]
     for mode, rows in metrics.items():
         lines += [f"{mode:<10} {r['grp']:<7} {r['n']:<4} {r['hit1']:<6} {r['recall']:<7} {r['mrr']}" for r in sorted(rows, key=lambda r: (r["grp"] != "all", r["grp"]))]
+    lines += [f"{mode:<10} p50 {x['p50']} ms, p95 {x['p95']} ms" for mode, x in (latency or {}).items()]
+    lines += [f"{mode:<10} not found: {q}" for mode, listed in (missed or {}).items() for q in listed]
     return "\n".join(lines + ([f"index built in {seconds:.1f} s"] if seconds is not None else []))

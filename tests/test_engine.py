@@ -75,7 +75,23 @@ def test_incremental_run_equals_rebuild(spark, vault, tmp_path):
         assert rows(a, *sorted(a.columns)) == rows(b, *sorted(a.columns)), name
     with pytest.raises(Conflict):
         store.publish({"tags": store.read("tags")}, None)
-    assert store.prune(1) == 1 and store.read("notes").count() == 4
+    assert store.current().statistics == fresh.current().statistics
+    fresh_names = {r["term"] for r in fresh.read("postings").select("term").distinct().collect()}
+    assert {r["term"] for r in store.read("postings").select("term").distinct().collect()} == fresh_names
+    # a layer holds what changed and no more
+    assert spark.read.parquet(store.current().tables["notes"][-1][0]).count() == 2
+    a, b = Engine.open(store), Engine.open(fresh)
+    assert rows(a.search("neu restic netz", mode="keyword")) == rows(b.search("neu restic netz", mode="keyword"))
+    # the broken file is tried again, and nothing else
+    again = Indexer(store, str(root)).run()
+    assert (again.mode, again.indexed, again.failed, again.unchanged) == ("incremental", 0, 1, 0)
+    (root / "kaputt.docx").unlink()
+    assert Indexer(store, str(root)).run().removed == 1
+    forced = Indexer(store, str(root)).run(forced=True)
+    assert (forced.mode, forced.indexed, forced.unchanged) == ("full", 0, 4)
+    (root / "Neu.md").write_text("# Neu\nmehr\n", encoding="utf-8")
+    assert Indexer(store, str(root)).index_paths(["Neu.md", "gibt/es/nicht.md"]).indexed == 1
+    assert store.prune(1) >= 1 and store.read("notes").count() == 4
 
 
 def _files(spark, **more):
@@ -99,7 +115,7 @@ def test_moves_keep_meaning(spark):
     assert rows(writes.move_note(_files(spark), links, "Tools/Restic.md", "Archive/Restic.md")[1]) == [("Infra/VPS.md", 1)]
     stolen = {r["path"]: r["text"] for r in writes.move_note(_files(spark), links, "Kochen/Brot.md", "Restic.md")[0].collect()}
     assert "[[Tools/Restic]]" in stolen["Ops/Backup-Strategie.md"]
-    for bad in ("Tools/Restic.txt", "Tools/Restic.md", "Infra/VPS.md"):
+    for bad in ("Tools/Restic.txt", "Tools/Restic.md", "Infra/VPS.md", "../x.md", "/x.md", ".git/x.md", ""):
         with pytest.raises(writes.WriteError):
             writes.move_note(_files(spark), links, "Tools/Restic.md", bad)
 
