@@ -28,19 +28,19 @@ def scan(spark: SparkSession, root: str, only: list[str] | None = None) -> DataF
     where they are asked for.
     """
     reader = spark.read.format("binaryFile")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    place = path(root)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    # names are no patterns
+    plain = lambda p: re.sub(r"([\[\]{}*?\\])", r"\\\1", p.toString())
     if only is None:
-        files = reader.option("recursiveFileLookup", "true").load(root)
+        files = reader.option("recursiveFileLookup", "true").load(plain(place))
     else:
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-        there = [p for p in (path(path(root), x) for x in only) if fs.exists(p)]
-        files = reader.load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p.toString()) for p in there]) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+        there = [p for p in (path(place, x) for x in only) if fs.exists(p)]
+        files = reader.load([plain(p) for p in there]) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
     # the scan names files by their whole address; what follows the root's own is the path
-    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getRawPath().rstrip("/") + "/"
-    raw = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
-    relative = F.substr(raw, F.length(F.lit(whole)) + 1)
-    path = F.try_url_decode(F.replace(relative, F.lit("+"), F.lit("%2B")))
+    whole = fs.makeQualified(place).toString().rstrip("/") + "/"
+    path = F.substr("path", F.lit(len(whole) + 1))
     listed = files.select(path.alias("path"), F.unix_timestamp("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
     return listed.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in IGNORED]))).withColumn("kind", kind_of(F.col("path")))
 

@@ -12,8 +12,9 @@ from quillmill.operators import graph, incremental, ranking, writes
 from quillmill.operators.filters import SearchFilters
 from quillmill.plans import evaluate
 from quillmill.plans.engine import Engine
+from quillmill.sources import files as sources
 from quillmill.streaming.snapshots import Conflict, SnapshotStore
-from quillmill.streaming.sync import Indexer, stream_states
+from quillmill.streaming.sync import Indexer, pushed, stream_states
 
 VAULT = {
     "Ops/Backup-Strategie.md": "---\ntags: [ops]\nstatus: curated\n---\n# Backup-Strategie\nMit [[Restic]] auf [[Infra/VPS#Netz|den VPS]]. #ops/backup\n## Aufbewahrung\nSnapshots bleiben 30 Tage.\n",
@@ -134,6 +135,60 @@ def test_writes(spark):
     assert rows(dangling) == [("Infra/VPS.md",), ("Ops/Backup-Strategie.md",)] and left.count() == 3
 
 
+def test_notes_are_shown_live_and_unknown_names_fail(spark, vault):
+    root, store, _ = vault
+    engine = Engine.open(store, root=str(root))
+    note = engine.get_note("VPS").first()
+    assert (note["path"], note["title"], note["tags"], note["truncated"]) == ("Infra/VPS.md", "VPS", ["infra"], False)
+    assert note["content"] == VAULT["Infra/VPS.md"] and len(note["sha"]) == 64 and note["links"][0]["alias"] == "restic"
+    with pytest.raises(LookupError):
+        engine.get_note("no such note")
+    assert engine.filters(modified_after="2024-07-03T11:46:40+02:00", status="x") == SearchFilters(status="x", modified_after=1720000000)
+    with pytest.raises(ValueError):
+        engine.filters(modified_before="yesterday")
+
+
+def test_a_model_that_cannot_be_loaded_leaves_keyword_search(spark, vault):
+    def broken():
+        raise OSError("no weights")
+
+    engine = Engine.open(vault[1], embedder=broken)
+    assert engine.status().first()["model_error"] == "no weights" and not engine.status().first()["semantic_search"]
+    assert {r["match"] for r in engine.search("Snapshots Aufbewahrung").collect()} == {"keyword"}
+    assert pushed(Indexer(vault[1], str(vault[0])), b"key", b"{}", "sha256=wrong") is None
+
+
+def test_edits_are_transactions(spark, tmp_path):
+    def index(texts):
+        parsed = sources.parse_files(texts.select("path", F.lit(0).cast("bigint").alias("modified"), F.col("text").cast("binary").alias("content")))
+        return {"links": sources.links_of(parsed), "notes": sources.notes_of(parsed)}
+
+    store = SnapshotStore(spark, str(tmp_path))
+    store.publish({"texts": _files(spark), **index(_files(spark))}, None)
+    first = store.current().snapshot
+    same = lambda files, links: writes.update_note(files, "Kochen/Brot.md", VAULT["Kochen/Brot.md"], NOW)
+    assert writes.transact(store, same, index)[0] == "unchanged" and store.current().snapshot == first
+    said, counts = writes.transact(store, lambda files, links: writes.move_note(files, links, "Tools/Restic.md", "Archive/R.md"), index)
+    assert said == "changed" and store.current().snapshot != first
+    assert ("Archive/R.md",) in rows(store.read("notes"), "path") and ("Tools/Restic.md",) not in rows(store.read("notes"), "path")
+    assert rows(store.read("links"), "src", "target") == [("Archive/R.md", "Backup-Strategie"), ("Infra/VPS.md", "Archive/R"), ("Ops/Backup-Strategie.md", "Infra/VPS"), ("Ops/Backup-Strategie.md", "R")]
+
+    def late(files, links):
+        store.publish({"notes": store.read("notes")}, store.current())
+        return writes.append_note(files, "Kochen/Brot.md", "mehr", NOW)
+
+    with pytest.raises(Conflict):
+        writes.transact(store, late, index)
+
+
+def test_scan_of_a_root_with_signs(spark, tmp_path):
+    root = tmp_path / "vault(1)+x [a]"
+    (root / "a b").mkdir(parents=True)
+    (root / "a b/c+d%20.md").write_text("# x", encoding="utf-8")
+    for only in (None, ["a b/c+d%20.md", "not/there.md"]):
+        assert [r["path"] for r in sources.scan(spark, str(root), only).select("path").collect()] == ["a b/c+d%20.md"]
+
+
 def test_resolver(spark):
     files = spark.createDataFrame([("Note.md",), ("deep/dir/Note.md",), ("b/Other.md",), ("img/pic.png",), (None,)], "path string")
     asked = spark.createDataFrame([("Note",), ("dir/note",), ("Other.md",), ("pic.png",), ("missing",), ("",), (None,)], "target string")
