@@ -113,10 +113,11 @@ def _frequencies(stored: DataFrame, phrases: DataFrame, config: EngineConfig) ->
     return single.unionByName(met.select("phrase", "chunk_id", "size", weighed(common).alias("f")).filter("f > 0"))
 
 
-def bm25_stored(queries: DataFrame, stored: DataFrame, statistics: tuple[int, int], among: DataFrame | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(qid, chunk_id, score) of all chunks that match a query, from stored postings and the (chunks, tokens) of the corpus.
+def bm25_stored(queries: DataFrame, stored: DataFrame, statistics: tuple[int, int], among: DataFrame | None = None, config: EngineConfig = EngineConfig(), k: int | None = None) -> DataFrame:
+    """(qid, chunk_id, score) of the chunks that match a query, from stored postings and the (chunks, tokens) of the corpus.
 
-    ``among`` (chunk_id) keeps only those chunks; it goes below the scoring, and the statistics stay those of the corpus.
+    With ``k`` only rows that can be among the k best of their query are sure to come out. ``among`` (chunk_id) keeps only
+    those chunks; it goes below the scoring, and the statistics stay those of the corpus.
     Each query term counts once. Terms in half of the chunks or more weigh next to nothing. Queries without terms have no
     rows. The postings of the asked terms are fetched once; scores are then summed where a chunk's postings lie, so only
     the best of each partition are exchanged.
@@ -135,24 +136,76 @@ def bm25_stored(queries: DataFrame, stored: DataFrame, statistics: tuple[int, in
     held = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = held.select("phrase", F.when(idf > 0, idf).otherwise(FLOOR).alias("idf"))
-    long = config.k1 * (1 - config.b + config.b * F.col("size") / F.lit(tokens_ / n if n and tokens_ else 1.0))
-    part = F.col("idf") * F.col("f") * (config.k1 + 1) / (F.col("f") + long)
+    asking = phrases.select("qid", "phrase").join(weight, "phrase")
     if among is not None:
         tf = tf.join(among.select("chunk_id"), "chunk_id", "left_semi")
-    placed = tf.repartition("chunk_id")
-    asking = phrases.select("qid", "phrase").join(weight, "phrase")
+    placed = tf.repartition("chunk_id").sortWithinPartitions("chunk_id").select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "phrase", "size", "f")
     blocks = max(1, -(-number // ASKED))
     scored = None
     for i in range(blocks):  # at most ASKED rows of the query set at once, about
         mine = asking if blocks == 1 else asking.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        one = placed.join(F.broadcast(mine), "phrase").select("qid", "chunk_id", part.alias("part")).groupBy("qid", "chunk_id").agg(F.sum("part").alias("score"))
+        one = _summed(placed, mine.collect(), tokens_ / n if n and tokens_ else 1.0, k, config)
         scored = one if scored is None else scored.unionByName(one)
     return scored
 
 
-def bm25(queries: DataFrame, indexed: DataFrame, wanted: Column | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
+def _summed(placed: DataFrame, asked: list, mean: float, k: int | None, config: EngineConfig) -> DataFrame:
+    """(qid, chunk_id, score) for one block of queries over frequencies that lie together by chunk and in its order.
+
+    Chunks are scored as a matrix of some chunks by all queries of the block; of each, the k best of a query go on.
+    """
+    ids = np.array(sorted({r["qid"] for r in asked}), np.int64)
+    column = {q: i for i, q in enumerate(ids.tolist())}
+    of: dict[str, tuple[float, list[int]]] = {}
+    for r in asked:
+        of.setdefault(r["phrase"], (r["idf"], []))[1].append(column[r["qid"]])
+    shared = placed.sparkSession.sparkContext.broadcast((ids, {p: (w, np.array(sorted(set(q)))) for p, (w, q) in of.items()}))
+    k1, b = config.k1, config.b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, of = shared.value
+        some = max(1, 4_000_000 // max(1, len(ids)))
+
+        def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            chunks, at = np.unique(rows.column("chunk_id").to_numpy(), return_inverse=True)
+            f, size = rows.column("f").to_numpy(), rows.column("size").to_numpy()
+            part = f * (k1 + 1) / (f + k1 * (1 - b + b * size / mean))
+            phrase = rows.column("phrase").to_pylist()
+            for low in range(0, len(chunks), some):
+                score = np.zeros((min(some, len(chunks) - low), len(ids)))
+                for i in range(int(np.searchsorted(at, low)), int(np.searchsorted(at, low + some))):
+                    if (asks := of.get(phrase[i])) is not None:
+                        score[at[i] - low, asks[1]] += asks[0] * part[i]
+                if k is not None and len(score) > k:
+                    # of equals the smaller id, which stands first
+                    best = np.argsort(-np.round(score, DIGITS), axis=0, kind="stable")[:k]
+                    row, query = best.T.ravel(), np.repeat(np.arange(len(ids)), k)
+                else:
+                    row, query = np.tile(np.arange(len(score)), len(ids)), np.repeat(np.arange(len(ids)), len(score))
+                found = score[row, query]
+                use = found > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[query[use]]), pa.array(chunks[low + row[use]]), pa.array(found[use])], names=["qid", "chunk_id", "score"])
+
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 60_000:  # what may go on in the next batch, the last chunk, is kept
+                t = pa.Table.from_batches(held).combine_chunks()
+                cut_at = int(np.searchsorted(t.column("chunk_id").to_numpy(), t.column("chunk_id")[-1].as_py()))
+                yield from block(t.slice(0, cut_at)) if cut_at else ()
+                held = t.slice(cut_at).to_batches()
+                rows = sum(x.num_rows for x in held)
+        if rows:
+            yield from block(pa.Table.from_batches(held).combine_chunks())
+
+    return placed.mapInArrow(run, "qid bigint, chunk_id bigint, score double")
+
+
+def bm25(queries: DataFrame, indexed: DataFrame, wanted: Column | None = None, config: EngineConfig = EngineConfig(), k: int | None = None) -> DataFrame:
     """:func:`bm25_stored` of chunks that have no stored postings; ``wanted`` is a predicate over ``indexed``'s columns."""
-    return bm25_stored(queries, postings(indexed), corpus_statistics(indexed), None if wanted is None else indexed.filter(wanted), config)
+    return bm25_stored(queries, postings(indexed), corpus_statistics(indexed), None if wanted is None else indexed.filter(wanted), config, k)
 
 
 def top(scored: DataFrame, k: int, best_first: bool = True) -> DataFrame:

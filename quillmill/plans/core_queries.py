@@ -197,13 +197,13 @@ def r1_query_terms(spark, d):
 
 @REG.add("r2_bm25_topk", f"{_BM25} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM kw WHERE rank <= 10")
 def r2_bm25_topk(spark, d):
-    return ranking.top(ranking.bm25(_asked(spark, d), _indexed(spark, d)), 10).withColumn("score", F.round("score", 6))
+    return ranking.top(ranking.bm25(_asked(spark, d), _indexed(spark, d), k=10), 10).withColumn("score", F.round("score", 6))
 
 
 @REG.add("r2_bm25_filtered", f"{_BM25}, ok AS (SELECT s.* FROM sc s JOIN idx USING (chunk_id) WHERE status = 'curated'), rk AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ok) SELECT qid, chunk_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
 def r2_bm25_filtered(spark, d):
     wanted = filters.predicate(filters.SearchFilters(status="curated"))
-    return ranking.top(ranking.bm25(_asked(spark, d), _indexed(spark, d), wanted), 10).withColumn("score", F.round("score", 6))
+    return ranking.top(ranking.bm25(_asked(spark, d), _indexed(spark, d), wanted, k=10), 10).withColumn("score", F.round("score", 6))
 
 
 @REG.add("r3_cosine_topk", f"""WITH q AS (SELECT vec_id AS qid, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT qid, vec_id AS chunk_id, {_DIST.format(a='embedding', b='vector')} AS score FROM embeddings, q),
@@ -216,7 +216,7 @@ def r3_cosine_topk(spark, d):
 
 def _hybrid(spark, d):
     indexed, asked, vecs = _indexed(spark, d), _asked(spark, d), table(spark, d, "embeddings")
-    keyword = ranking.top(ranking.bm25(asked, indexed), 50)
+    keyword = ranking.top(ranking.bm25(asked, indexed, k=50), 50)
     vectors = indexed.select("chunk_id").join(vecs, F.col("vec_id") == F.col("chunk_id")).select("chunk_id", "embedding")
     vector = asked.join(vecs, F.col("vec_id") == F.col("qid")).select("qid", F.col("embedding").alias("vector"))
     return ranking.fuse(keyword, ranking.cosine_top(vectors, vector, 50), 8), indexed
@@ -440,7 +440,7 @@ def m5_delete(spark, d):
 
 def _eval_rows(spark, d):
     indexed, asked = _indexed(spark, d), _asked(spark, d)
-    ranked = ranking.top(ranking.bm25(asked, indexed), 20)
+    ranked = ranking.top(ranking.bm25(asked, indexed, k=20), 20)
     return evaluate.query_rows(asked, evaluate.note_ranks(ranked, indexed, 5))
 
 

@@ -65,9 +65,9 @@ class Engine:
         if mode != "semantic":
             if self.postings is not None and self.manifest is not None:
                 held = self.manifest.statistics
-                scored = ranking.bm25_stored(queries, self.postings, (held["chunks"], held["tokens"]), among, self.config)
+                scored = ranking.bm25_stored(queries, self.postings, (held["chunks"], held["tokens"]), among, self.config, depth)
             else:
-                scored = ranking.bm25(queries, self.indexed, None if among is None else predicate(filters), self.config)
+                scored = ranking.bm25(queries, self.indexed, None if among is None else predicate(filters), self.config, depth)
             keyword = ranking.top(scored, depth)
         if mode != "keyword" and self.embedder:
             asked = queries if "vector" in queries.columns else embed(queries.select("qid", "query"), "query", self.embedder, "vector", queries=True)
