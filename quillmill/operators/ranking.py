@@ -11,18 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import TOKEN, query_terms, tokens
 from ..functions.vectors import cosine_distance
-from ..session import cut
+from ..session import cut, written
+from . import scoring
+from .scoring import DIGITS
 
-#: Scores that agree to so many digits are ties; the smaller id goes first.
-DIGITS = 9
 FLOOR = 1e-6
-#: Rows (query, phrase) and numbers of query vectors that are broadcast at once: about 64 MB of either.
+#: Rows (query, phrase) and numbers of query vectors that are broadcast at once: at most 64 MB of either.
 ASKED, MATRIX = 500_000, 8_000_000
 #: Rows (query, phrase) that are held by the driver.
 FEW = 1000
@@ -58,8 +59,11 @@ def tokenised(indexed: DataFrame, *keep: str) -> DataFrame:
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
-    """(qid, phrase, words): the phrases of each query; a term with an underscore is a phrase of several tokens."""
-    terms = queries.select("qid", F.explode(query_terms(F.col("query"))).alias("term"))
+    """(qid, phrase, words): the phrases of each query; a term with an underscore is a phrase of several tokens.
+
+    Distinct terms can have one phrase (``que``, ``qué``); it then has a row, and counts, for each of them.
+    """
+    terms = queries.select("qid", F.explode(query_terms(F.col("query"))).alias("term")).distinct()
     parts = terms.select("qid", tokens(F.col("term")).alias("parts")).filter(F.size("parts") > 0)
     return parts.select("qid", F.array_join("parts", " ").alias("phrase"), F.size("parts").alias("words"))
 
@@ -118,89 +122,67 @@ def bm25_stored(queries: DataFrame, stored: DataFrame, statistics: tuple[int, in
 
     With ``k`` only rows that can be among the k best of their query are sure to come out. ``among`` (chunk_id) keeps only
     those chunks; it goes below the scoring, and the statistics stay those of the corpus.
-    Each query term counts once. Terms in half of the chunks or more weigh next to nothing. Queries without terms have no
+    Each distinct query term counts once. Terms in half of the chunks or more weigh next to nothing. Queries without terms have no
     rows. The postings of the asked terms are fetched once; scores are then summed where a chunk's postings lie, so only
-    the best of each partition are exchanged.
+    the k best of each part are exchanged.
     """
     phrases = query_phrases(queries)
     rows = phrases.limit(FEW + 1).collect()
     if len(rows) <= FEW:  # few terms reach the scan as a filter, and scans of theirs are cheap enough to be made twice
-        phrases, number = queries.sparkSession.createDataFrame(rows, phrases.schema), len(rows)
+        phrases = queries.sparkSession.createDataFrame(rows, phrases.schema)
         tf = _frequencies(stored.filter(F.col("term").isin(sorted({t for r in rows for t in r["phrase"].split(" ")}))), phrases.select("phrase", "words").distinct(), config)
     else:
         phrases = cut(phrases)
-        number = phrases.count()
         terms = phrases.select(F.explode(F.split("phrase", " ")).alias("term")).distinct()
         tf = cut(_frequencies(stored.join(terms, "term", "left_semi"), phrases.select("phrase", "words").distinct(), config))
     n, tokens_ = statistics
-    held = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = held.select("phrase", F.when(idf > 0, idf).otherwise(FLOOR).alias("idf"))
-    asking = phrases.select("qid", "phrase").join(weight, "phrase")
+    names, qid, term = _asked(phrases)
+    held = {r["phrase"]: r["df"] for r in tf.groupBy("phrase").agg(F.count("*").alias("df")).collect()}
+    numbers = queries.sparkSession.createDataFrame(pa.table({"phrase": pa.array(names, pa.string()), "id": pa.array(range(len(names)), pa.int32())}))
     if among is not None:
         tf = tf.join(among.select("chunk_id"), "chunk_id", "left_semi")
-    placed = tf.repartition("chunk_id").sortWithinPartitions("chunk_id").select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "phrase", "size", "f")
-    blocks = max(1, -(-number // ASKED))
-    scored = None
-    for i in range(blocks):  # at most ASKED rows of the query set at once, about
-        mine = asking if blocks == 1 else asking.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        one = _summed(placed, mine.collect(), tokens_ / n if n and tokens_ else 1.0, k, config)
-        scored = one if scored is None else scored.unionByName(one)
-    return scored
+    groups, parts = scoring.plan(queries.sparkSession, len(np.unique(qid)), len(qid), k, ASKED)
+    placed = tf.join(numbers, "phrase").repartition(parts, "chunk_id").groupBy(F.col("chunk_id").cast("bigint").alias("chunk_id")).agg(F.first("size").alias("size"), F.collect_list(F.struct("id", F.col("f").cast("double").alias("f"))).alias("at"))
+    counts = placed.select("chunk_id", "size", F.col("at.id").alias("ids"), F.col("at.f").alias("f"))
+    counts = counts if groups == 1 else written(counts).coalesce(parts)
+    return scoring.best_scores(counts, qid, term, _weights(n, np.array([held.get(x, 0) for x in names], np.int64)), tokens_ / n if n and tokens_ else 1.0, k, config.k1, config.b, groups)
 
 
-def _summed(placed: DataFrame, asked: list, mean: float, k: int | None, config: EngineConfig) -> DataFrame:
-    """(qid, chunk_id, score) for one block of queries over frequencies that lie together by chunk and in its order.
+def _asked(phrases: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct phrases in order, and the pairs (qid, number of the phrase): columns, so 12 bytes a pair."""
+    got = phrases.select("qid", "phrase").toArrow()
+    names = sorted(got.column("phrase").unique().to_pylist())
+    number = pc.index_in(got.column("phrase"), value_set=pa.array(names, pa.string())).combine_chunks()
+    return names, got.column("qid").combine_chunks().to_numpy().astype(np.int64), number.to_numpy()
 
-    Chunks are scored as a matrix of some chunks by all queries of the block; of each, the k best of a query go on.
-    """
-    ids = np.array(sorted({r["qid"] for r in asked}), np.int64)
-    column = {q: i for i, q in enumerate(ids.tolist())}
-    of: dict[str, tuple[float, list[int]]] = {}
-    for r in asked:
-        of.setdefault(r["phrase"], (r["idf"], []))[1].append(column[r["qid"]])
-    shared = placed.sparkSession.sparkContext.broadcast((ids, {p: (w, np.array(sorted(set(q)))) for p, (w, q) in of.items()}))
-    k1, b = config.k1, config.b
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, of = shared.value
-        some = max(1, 4_000_000 // max(1, len(ids)))
-
-        def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            chunks, at = np.unique(rows.column("chunk_id").to_numpy(), return_inverse=True)
-            f, size = rows.column("f").to_numpy(), rows.column("size").to_numpy()
-            part = f * (k1 + 1) / (f + k1 * (1 - b + b * size / mean))
-            phrase = rows.column("phrase").to_pylist()
-            for low in range(0, len(chunks), some):
-                score = np.zeros((min(some, len(chunks) - low), len(ids)))
-                for i in range(int(np.searchsorted(at, low)), int(np.searchsorted(at, low + some))):
-                    if (asks := of.get(phrase[i])) is not None:
-                        score[at[i] - low, asks[1]] += asks[0] * part[i]
-                if k is not None and len(score) > k:
-                    # of equals the smaller id, which stands first
-                    best = np.argsort(-np.round(score, DIGITS), axis=0, kind="stable")[:k]
-                    row, query = best.T.ravel(), np.repeat(np.arange(len(ids)), k)
-                else:
-                    row, query = np.tile(np.arange(len(score)), len(ids)), np.repeat(np.arange(len(ids)), len(score))
-                found = score[row, query]
-                use = found > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[query[use]]), pa.array(chunks[low + row[use]]), pa.array(found[use])], names=["qid", "chunk_id", "score"])
-
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 60_000:  # what may go on in the next batch, the last chunk, is kept
-                t = pa.Table.from_batches(held).combine_chunks()
-                cut_at = int(np.searchsorted(t.column("chunk_id").to_numpy(), t.column("chunk_id")[-1].as_py()))
-                yield from block(t.slice(0, cut_at)) if cut_at else ()
-                held = t.slice(cut_at).to_batches()
-                rows = sum(x.num_rows for x in held)
-        if rows:
-            yield from block(pa.Table.from_batches(held).combine_chunks())
-
-    return placed.mapInArrow(run, "qid bigint, chunk_id bigint, score double")
+def _weights(n: int, df: np.ndarray) -> np.ndarray:
+    """The weight of each phrase, of which ``df`` of n chunks hold it."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        idf = np.log((float(n) - df + 0.5) / (df + 0.5))
+    return np.where(idf > 0, idf, FLOOR)
+
+
+def bm25_of(queries: DataFrame, chunks: DataFrame, notes: DataFrame, tags: DataFrame | None = None, wanted: Column | None = None, config: EngineConfig = EngineConfig(), k: int | None = None) -> DataFrame:
+    """:func:`bm25` of the chunks of ``notes``, of which only counts of the asked phrases are exchanged and never texts.
+
+    ``wanted`` is a predicate over the notes' columns and ``tags``; as everywhere it leaves the statistics as they are.
+    """
+    names, qid, term = _asked(query_phrases(queries))
+    own = scoring.counted(chunks.select("chunk_id", "path", "headings", "text"), names, {"headings": (F.array_join("headings", " "), config.headings_weight), "text": (F.col("text"), config.text_weight)}).dropDuplicates(["chunk_id"])
+    noted = notes.select("path", "kind", "title", "status", "modified")
+    if wanted is None:
+        kept = noted.select("path", "title", F.lit(True).alias("wanted"))
+    else:
+        tagged = noted.withColumn("tags", F.array().cast("array<string>")) if tags is None else noted.join(tags, "path", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+        kept = tagged.select("path", "title", F.coalesce(wanted, F.lit(False)).alias("wanted"))
+    titles = scoring.counted(kept, names, {"title": (F.col("title"), config.title_weight)}).select("path", "wanted", *[F.col(c).alias(f"title_{c}") for c in ("size", "ids", "f")])
+    counts = written(scoring.merged(own.join(titles, "path"), len(names)))
+    n, tokens_, df = scoring.statistics(counts, len(names))
+    groups, parts = scoring.plan(queries.sparkSession, len(np.unique(qid)), len(qid), k, ASKED)
+    # one row a chunk: parts are joined files, without an exchange
+    scanned = counts.filter("wanted").select("chunk_id", "size", "ids", "f").coalesce(parts)
+    return scoring.best_scores(scanned, qid, term, _weights(n, df), tokens_ / n if n and tokens_ else 1.0, k, config.k1, config.b, groups)
 
 
 def bm25(queries: DataFrame, indexed: DataFrame, wanted: Column | None = None, config: EngineConfig = EngineConfig(), k: int | None = None) -> DataFrame:
@@ -299,4 +281,4 @@ def index_terms(stored: DataFrame) -> DataFrame:
     return stored.select("term", "chunk_id", F.inline(columns)).filter(F.size("positions") > 0)
 
 
-__all__ = ["TOKEN", "bm25", "bm25_stored", "by_term", "corpus_statistics", "cosine", "cosine_top", "current_notes", "fuse", "hits", "index_terms", "indexed_chunks", "postings", "query_phrases", "tag_lists", "tokenised", "top"]
+__all__ = ["TOKEN", "bm25", "bm25_of", "bm25_stored", "by_term", "corpus_statistics", "cosine", "cosine_top", "current_notes", "fuse", "hits", "index_terms", "indexed_chunks", "postings", "query_phrases", "tag_lists", "tokenised", "top"]

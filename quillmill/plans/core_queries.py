@@ -32,6 +32,11 @@ def _indexed(spark, d):
     return ranking.indexed_chunks(table(spark, d, "chunks"), _notes(spark, d), _tags(spark, d))
 
 
+def _keyword(spark, d, k, wanted=None):
+    tags = None if wanted is None else _tags(spark, d)
+    return ranking.top(ranking.bm25_of(_asked(spark, d), table(spark, d, "chunks"), _notes(spark, d), tags, wanted, k=k), k)
+
+
 def _links(spark, d):
     return table(spark, d, "links").dropDuplicates(["link_id"])
 
@@ -197,7 +202,7 @@ def r1_query_terms(spark, d):
 
 @REG.add("r2_bm25_topk", f"{_BM25} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM kw WHERE rank <= 10")
 def r2_bm25_topk(spark, d):
-    return ranking.top(ranking.bm25(_asked(spark, d), _indexed(spark, d), k=10), 10).withColumn("score", F.round("score", 6))
+    return _keyword(spark, d, 10).withColumn("score", F.round("score", 6))
 
 
 @REG.add("r2_bm25_filtered", f"{_BM25}, ok AS (SELECT s.* FROM sc s JOIN idx USING (chunk_id) WHERE status = 'curated'), rk AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ok) SELECT qid, chunk_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")

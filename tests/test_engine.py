@@ -2,13 +2,15 @@
 
 import datetime as dt
 import math
+import random
 import sqlite3
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from quillmill.operators import graph, incremental, ranking, writes
+from quillmill.operators import graph, incremental, ranking, scoring, writes
 from quillmill.operators.filters import SearchFilters
 from quillmill.plans import evaluate
 from quillmill.plans.engine import Engine
@@ -210,6 +212,60 @@ def test_bm25_equals_full_text_index(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in got)
 
 
+def _chunked(spark, number):
+    r = random.Random(5)
+    words = [*(f"w{i}" for i in range(30)), "Que", "qué", "alpha", "beta", "alpha", "beta"]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    notes = [(f"{i}.md", "md", text(2) if i % 3 else None, "curated" if i % 2 else None, i) for i in range(40)]
+    chunks = [(i, f"{r.randrange(44)}.md", i, [text(1)] if i % 2 else None, text(r.randrange(12)) if i % 7 else None) for i in range(number)]
+    asked = [(q, text(4) + r.choice([" que qué", " alpha_beta", " beta_alpha_beta", ""])) for q in range(25)] + [(25, "!"), (26, "unknown")]
+    return (
+        spark.createDataFrame(chunks + chunks[:9], "chunk_id bigint, path string, ord int, headings array<string>, text string"),
+        spark.createDataFrame(notes, "path string, kind string, title string, status string, modified bigint"), spark.createDataFrame(asked, "qid bigint, query string"),
+    )
+
+
+def test_bm25_of_counts_keeps_the_best_of_every_query(spark, monkeypatch):
+    chunks, notes, asked = _chunked(spark, 400)
+    indexed = ranking.indexed_chunks(chunks, notes)
+    for wanted in (None, F.col("status") == "curated"):
+        every = ranking.bm25(asked, indexed, wanted)
+        want = rows(ranking.top(every.withColumn("score", F.round("score", 8)), 4), "qid", "chunk_id", "score", "rank")
+        got = lambda k: rows(ranking.top(ranking.bm25_of(asked, chunks, notes, None, wanted, k=k).withColumn("score", F.round("score", 8)), 4), "qid", "chunk_id", "score", "rank")
+        assert len(want) > 90 and got(4) == got(None) == want
+        with monkeypatch.context() as m:  # many groups of queries, small blocks of chunks
+            m.setattr(ranking, "ASKED", 20)
+            m.setattr(scoring, "CHUNKS", 64)
+            assert got(4) == want
+
+
+def test_terms_of_one_phrase_each_count(spark):
+    chunks, notes, _ = _chunked(spark, 60)
+    score = lambda q: {r["chunk_id"]: r["score"] for r in ranking.bm25_of(spark.createDataFrame([(1, q)], "qid bigint, query string"), chunks, notes).collect()}
+    once, twice = score("que"), score("que qué")
+    assert once and twice == pytest.approx({c: 2 * s for c, s in once.items()})
+
+
+def test_a_part_gives_no_more_than_k_rows_of_a_query():
+    r = np.random.default_rng(3)
+    chunks, number = np.arange(5000), 12
+    at, phrase = np.nonzero(r.random((5000, number)) < np.linspace(0.002, 0.4, number))
+    weight = np.round(r.random(len(at)), 1)
+    terms = np.concatenate([np.sort(r.choice(number, 3, replace=False)) for _ in range(50)])
+    best = scoring.Best(np.arange(50), np.arange(0, 151, 3), terms, 5)
+    for low in range(0, 5000, 1000):
+        use = (at >= low) & (at < low + 1000)
+        assert list(best.add(chunks[low : low + 1000], at[use] - low, phrase[use], weight[use], number)) == []
+    got = [(x["qid"], x["chunk_id"]) for b in best.rest() for x in b.to_pylist()]
+    whole = np.zeros((5000, number))
+    whole[at, phrase] = weight
+    want = []
+    for q in range(50):
+        score = np.round(whole[:, terms[3 * q : 3 * q + 3]].sum(1), 9)
+        want += [(q, c) for c in np.lexsort((chunks, -score))[:5].tolist() if score[c] > 0]
+    assert sorted(got) == sorted(want)
+
+
 def test_cosine_matrix_equals_join(spark):
     vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0]), (5, [2.0, 0.0])], "chunk_id bigint, embedding array<float>")
     asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], "qid bigint, vector array<float>")
