@@ -208,7 +208,7 @@ def r2_bm25_topk(spark, d):
 @REG.add("r2_bm25_filtered", f"{_BM25}, ok AS (SELECT s.* FROM sc s JOIN idx USING (chunk_id) WHERE status = 'curated'), rk AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ok) SELECT qid, chunk_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
 def r2_bm25_filtered(spark, d):
     wanted = filters.predicate(filters.SearchFilters(status="curated"))
-    return ranking.top(ranking.bm25(_asked(spark, d), _indexed(spark, d), wanted, k=10), 10).withColumn("score", F.round("score", 6))
+    return _keyword(spark, d, 10, wanted).withColumn("score", F.round("score", 6))
 
 
 @REG.add("r3_cosine_topk", f"""WITH q AS (SELECT vec_id AS qid, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT qid, vec_id AS chunk_id, {_DIST.format(a='embedding', b='vector')} AS score FROM embeddings, q),
