@@ -445,7 +445,7 @@ def m5_delete(spark, d):
 
 def _eval_rows(spark, d):
     indexed, asked = _indexed(spark, d), _asked(spark, d)
-    ranked = ranking.top(ranking.bm25(asked, indexed, k=20), 20)
+    ranked = _keyword(spark, d, 20)
     return evaluate.query_rows(asked, evaluate.note_ranks(ranked, indexed, 5))
 
 
