@@ -221,7 +221,7 @@ def r3_cosine_topk(spark, d):
 
 def _hybrid(spark, d):
     indexed, asked, vecs = _indexed(spark, d), _asked(spark, d), table(spark, d, "embeddings")
-    keyword = ranking.top(ranking.bm25(asked, indexed, k=50), 50)
+    keyword = _keyword(spark, d, 50)
     vectors = indexed.select("chunk_id").join(vecs, F.col("vec_id") == F.col("chunk_id")).select("chunk_id", "embedding")
     vector = asked.join(vecs, F.col("vec_id") == F.col("qid")).select("qid", F.col("embedding").alias("vector"))
     return ranking.fuse(keyword, ranking.cosine_top(vectors, vector, 50), 8), indexed
