@@ -275,10 +275,17 @@ def hits(ranked: DataFrame, indexed: DataFrame) -> DataFrame:
     return ranked.join(indexed, "chunk_id").select("qid", "rank", "path", "title", "headings", "text", "score", "match", "kind", "status", "tags", "modified")
 
 
+def hits_of(ranked: DataFrame, chunks: DataFrame, notes: DataFrame, tags: DataFrame) -> DataFrame:
+    """:func:`hits` of many queries: texts are exchanged to find repeated chunks, and those of the hits once more."""
+    own = chunks.select("chunk_id", "path", "headings", "text").dropDuplicates(["chunk_id"])
+    noted = notes.select("path", "kind", "title", "status", "modified").join(tags, "path", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    return ranked.join(own, "chunk_id").join(noted, "path").select("qid", "rank", "path", "title", "headings", "text", "score", "match", "kind", "status", "tags", "modified")
+
+
 def index_terms(stored: DataFrame) -> DataFrame:
     """(term, chunk_id, column, positions) of postings: a row for each column that holds the term."""
     columns = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("positions")) for c in ("title", "headings", "text")])
     return stored.select("term", "chunk_id", F.inline(columns)).filter(F.size("positions") > 0)
 
 
-__all__ = ["TOKEN", "bm25", "bm25_of", "bm25_stored", "by_term", "corpus_statistics", "cosine", "cosine_top", "current_notes", "fuse", "hits", "index_terms", "indexed_chunks", "postings", "query_phrases", "tag_lists", "tokenised", "top"]
+__all__ = ["TOKEN", "bm25", "bm25_of", "bm25_stored", "by_term", "corpus_statistics", "cosine", "cosine_top", "current_notes", "fuse", "hits", "hits_of", "index_terms", "indexed_chunks", "postings", "query_phrases", "tag_lists", "tokenised", "top"]

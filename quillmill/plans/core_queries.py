@@ -234,7 +234,7 @@ def r4_rrf_hybrid(spark, d):
 
 @REG.add("r6_hits", f"{_HYBRID} SELECT qid, rank, path, title, headings, text, score, match, kind, status, tags, modified FROM ranked JOIN idx USING (chunk_id) WHERE rank <= 8")
 def r6_hits(spark, d):
-    return ranking.hits(*_hybrid(spark, d))
+    return ranking.hits_of(_hybrid(spark, d)[0], table(spark, d, "chunks"), _notes(spark, d), _tags(spark, d))
 
 
 @REG.add("r2_postings", f"WITH {_CUR}, {_TAGL}, {_IDX}, p AS (SELECT chunk_id, 'title' AS \"column\", {_TOK.format('title')} AS w FROM idx UNION ALL SELECT chunk_id, 'headings', {_TOK.format(chr(39).join(['array_to_string(headings, ', ' ', ')']))} FROM idx UNION ALL SELECT chunk_id, 'text', {_TOK.format('text')} FROM idx), e AS (SELECT chunk_id, \"column\", unnest(w) AS term FROM p) SELECT term, chunk_id, \"column\", count(*) AS tf FROM e GROUP BY ALL")

@@ -246,6 +246,14 @@ def test_terms_of_one_phrase_each_count(spark):
     assert once and twice == pytest.approx({c: 2 * s for c, s in once.items()})
 
 
+def test_hits_exchange_texts_twice(spark):
+    chunks, notes, _ = _chunked(spark, 60)
+    tags = spark.createDataFrame([(f"{i}.md", ["t"]) for i in range(0, 40, 3)], "path string, tags array<string>")
+    ranked = spark.createDataFrame([(q, c, 1.0, "both", q) for q in range(3) for c in range(q, 60, 2)], "qid bigint, chunk_id bigint, score double, match string, rank int")
+    got = ranking.hits_of(ranked, chunks, notes, tags)
+    assert rows(got) == rows(ranking.hits(ranked, ranking.indexed_chunks(chunks, notes, tags))) and got.count() > 50
+
+
 def test_a_part_gives_no_more_than_k_rows_of_a_query():
     r = np.random.default_rng(3)
     chunks, number = np.arange(5000), 12
