@@ -100,10 +100,15 @@ def p4_groups(spark, d):
     return neardup.NearDuplicates(table(spark, d, "chunks"), table(spark, d, "notes")).groups()
 
 
+def _subject_model(spark, d):
+    subjects = subject.allowed(table(spark, d, "subject_areas"))
+    blocks = subject.cut_texts(table(spark, d, "documents"), table(spark, d, "subject_labels"), subjects)
+    return blocks, subject.fit_blocks(blocks, subjects)
+
+
 def _subjects(spark, d):
-    documents = table(spark, d, "documents")
-    model = subject.training_model(documents, table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
-    return subject.subject_shares(documents, model), model
+    blocks, model = _subject_model(spark, d)
+    return subject.block_shares(blocks, model), model
 
 
 @REG.add("p8_found")
@@ -118,5 +123,5 @@ def p8_composition(spark, d):
 
 @REG.add("p8_functions")
 def p8_functions(spark, d):
-    model = subject.training_model(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+    _, model = _subject_model(spark, d)
     return spark.createDataFrame(model.functions(), "function string, coverage double, accuracy double, accuracy_none double")
